@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["term_counts", "joint_rank", "set_overlaps", "near_duplicates", "group_top", "distinctive_terms", "packing", "mixing"]
+MODULES = ["term_counts", "joint_rank", "set_overlaps", "near_duplicates", "group_top", "distinctive_terms", "packing", "mixing", "subject_areas"]
 
 
 def _merged(name: str) -> dict:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 #: A file of byte-level BPE ranks (base64 bytes and rank, one a line); the folder must be the same on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The public split pattern that belongs to these ranks.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _encodings: dict = {}
 
