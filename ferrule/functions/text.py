@@ -161,14 +161,11 @@ def porter_stem(word: str) -> str:
 
 def stems(c: Column | str) -> Column:
     """Porter stems of an array of words, in Arrow batches."""
-    import pandas as pd
-
-    @F.pandas_udf("array<string>")
-    def run(words: pd.Series) -> pd.Series:
+    def run(words):
         known: dict[str, str] = {}
         return words.map(lambda ws: None if ws is None else [known.setdefault(w, porter_stem(w)) for w in ws])
 
-    return run(col(c))
+    return F.pandas_udf(run, "array<string>")(col(c))
 
 
 def candidate_phrases(c: Column | str, stopwords: list[str] = STOPWORDS) -> Column:
