@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["indexing", "boolean", "evaluation"]
+MODULES = ["indexing", "boolean", "evaluation", "ranking", "prediction"]
 
 
 def merged(name: str) -> dict:

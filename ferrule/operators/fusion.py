@@ -67,24 +67,20 @@ def fuse_tree(queries: Mapping[str, Node], collection: sc.Collection, leaf_score
 
     Leaf: the scores of all leaf scorers, each min-max scaled and raised by 1, merged by CombMNZ and
     scaled again. Inner node: the lists of its children merged, by CombSUM for ``and``, else by CombMNZ. All leaves of all
-    topics with the same fields are scored in one plan; inner nodes are merged level by level from the deepest, each level in one aggregation.
+    topics are scored in one plan; inner nodes are merged level by level from the deepest, each level in one aggregation.
     """
     spark = collection.postings.sparkSession
     leaves = {(t, str(k)): k for t, q in queries.items() for k in keywords(q)}
-    by_fields: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+    routed = set()
     for (topic, name), k in leaves.items():
-        fields = tuple(routed_fields(k))
-        if fields:
-            words = [k.text.lower()] if fields == ("mh",) else k.text.lower().replace('"', "").split()
-            by_fields.setdefault(fields, []).extend((f"{topic}\t{name}", w.rstrip("*")) for w in words)
-    scored = None
-    for fields, rows in by_fields.items():
-        terms = spark.createDataFrame(sorted(set(rows)), "topic string, term string")
-        for s in leaf_scorers:
-            part = sc.SCORERS[s](collection, terms, list(fields)).select("topic", F.lit(s).alias("list_id"), "doc_id", F.col("score").cast("double").alias("score"))
-            scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
+        for f in routed_fields(k):
+            words = [k.text.lower()] if f == "mh" else k.text.lower().replace('"', "").split()
+            routed |= {(f"{topic}\t{name}", w.rstrip("*"), f) for w in words}
+    if not routed:
         return spark.createDataFrame([], "topic string, doc_id long, score double")
+    every = sc.all_scores(collection, spark.createDataFrame(sorted(routed), "topic string, term string, field string"))
+    lists = F.inline(F.array(*[F.struct(F.lit(n).alias("list_id"), F.col(n).cast("double").alias("score")) for n in leaf_scorers]))
+    scored = every.select("topic", "doc_id", lists)
     lifted = min_max(scored).withColumn("score", F.col("score") + 1)
     fused = min_max(comb_mnz(lifted), ["topic"]).withColumn("score", F.col("score") + 1)
     leaf = fused.select(F.split_part("topic", F.lit("\t"), F.lit(1)).alias("topic"), F.split_part("topic", F.lit("\t"), F.lit(2)).alias("leaf"), "doc_id", "score")

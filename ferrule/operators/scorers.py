@@ -132,6 +132,30 @@ SCORERS = {
 }
 
 
+def all_scores(c: Collection, routed: DataFrame, k1: float = 1.2, b: float = 0.1) -> DataFrame:
+    """(topic, doc_id, bm25, ln_l2, pos, sum_tf, sum_idf, title_abstract, pub_date, doc_len): the scorers of many queries with fields of their own, together.
+
+    ``routed`` has (topic, term, field). The wanted postings are read, joined with their statistics and aggregated once for all scorers.
+    """
+    routed = routed.distinct()
+    held = c.postings.join(routed.select("term", "field").distinct(), ["term", "field"], "left_semi")
+    stats = held.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    matched = held.join(routed, ["term", "field"])
+    tf, weight = F.col("tf"), idf(F.col("n"), F.col("df"))
+    m = matched.join(stats, ["term", "field"]).crossJoin(F.broadcast(c.n)).join(c.lengths.select("doc_id", "field", "dl"), ["doc_id", "field"]).join(F.broadcast(c.averages), "field")
+    sums = m.groupBy("topic", "doc_id").agg(
+        F.sum(weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("bm25"),
+        F.sum(tf * F.log(F.col("n") + 1) / (F.col("df") + 0.5) / F.log(F.lit(2.0)) / (tf + 1)).alias("ln_l2"),
+        F.sum("pos").alias("pos"), F.sum("tf").alias("sum_tf"),
+    )
+    query_idf = routed.join(stats, ["term", "field"]).crossJoin(F.broadcast(c.n)).groupBy("topic").agg(F.sum(weight).alias("sum_idf"))
+    sizes = sums.select("topic", "doc_id").join(c.lengths.select("doc_id", "field", "dl"), "doc_id").join(routed.select("topic", "field").distinct(), ["topic", "field"]).groupBy("topic", "doc_id").agg(F.sum("dl").alias("doc_len"))
+    places = title_abstract(c, routed.select("topic", "term")).withColumnRenamed("score", "title_abstract")
+    dated = c.docs.select("doc_id", F.coalesce(F.unix_timestamp(F.col("dcom").cast("timestamp")), F.lit(0)).cast("double").alias("pub_date"))
+    joined = sums.join(places, ["topic", "doc_id"]).join(sizes, ["topic", "doc_id"]).join(query_idf, "topic").join(dated, "doc_id", "left")
+    return joined.na.fill(0.0, ["pub_date"])
+
+
 def rank(scores: DataFrame, run_name: str, limit: int | None = None) -> DataFrame:
     """Run rows in order of falling score, then rising doc_id, ranks from 1; per-topic top lists are cut in every task first."""
     order = Window.partitionBy("topic").orderBy(F.col("score").desc(), "doc_id")
