@@ -71,8 +71,8 @@ def counts(nodes_: DataFrame, key: str = "topic", compat: bool = False) -> DataF
 
 def complexity(nodes_: DataFrame, key: str = "topic") -> DataFrame:
     """(key, complexity): over the root's children, (sum of inner nodes / sum of keywords) / children, times the number of nodes; 0 without keywords."""
-    inside = nodes_.where("depth >= 1")
-    c = inside.groupBy(key).agg(F.count_if(F.col("kind") == "bool").alias("b"), F.count_if(_kw()).alias("k"), F.count_if(F.col("depth") == 1).alias("children"), F.count(F.lit(1)).alias("n"))
+    below = F.col("depth") >= 1
+    c = nodes_.groupBy(key).agg(F.count_if(below & (F.col("kind") == "bool")).alias("b"), F.count_if(below & _kw()).alias("k"), F.count_if(F.col("depth") == 1).alias("children"), F.count_if(below).alias("n"))
     return c.select(key, F.when(F.col("k") > 0, F.col("b") / F.col("k") / F.col("children") * F.col("n")).otherwise(0.0).alias("complexity"))
 
 
