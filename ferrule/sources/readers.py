@@ -42,7 +42,7 @@ def read_pmids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """(topic, text): one file per topic, named after it."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("topic"), F.trim("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("topic"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
 
 
 def read_keyword_queries(spark: SparkSession, path: str, fields: tuple[str, ...] = (TITLE, ABSTRACT)) -> DataFrame:
