@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,12 @@ from ferrule.tables import durable, table
 #: Term ranks below this spread the commonest terms evenly over the segments; it bounds what a task is sent.
 RANKED_TERMS = 2048
 #: Numbers of segments in use are multiples of this.
-STEP = 3
+STEP = 6
 SKETCH_WORDS = 2
+#: A signature of more whole segments than this is spread over tiles; pairs are formed in chunks of at most CHUNK.
+HOT, CHUNK = 50_000, 2_000_000
+#: Rows of a shuffle partition of signatures that are aimed at.
+PARTITION_ROWS = 1_500_000
 
 
 def difference_bound(size_a, size_b, threshold: float):
@@ -35,14 +41,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _signatures(batches, ranked: np.ndarray, threshold: float):
-    """Rows (sig, id, size, whole, w0, w1) for batches of (id, size, hashes).
+def _signatures(batches, ranked: np.ndarray, threshold: float, hot: dict[int, int] | None = None, only_whole: bool = False):
+    """Rows (sig, id, size, w0, w1) for batches of (id, size, hashes); the last bit of sig is 0 for a whole segment, 1 for one without a term.
 
     ``ranked`` are the hashes of the commonest terms, commonest first. The segment of a ranked term follows its rank
     to and fro over the segments; that of any other term its hash. A segment is signed by the wrapped sum of its terms'
     mixed hashes, so the signature without one term is one subtraction. A set is signed for every number of segments that
-    its pairing with a set of an admissible size can need.
+    its pairing with a set of an admissible size can need. A row with one of the ``hot`` signatures (signature -> number of
+    tiles) is written once for every pairing of its own tile with another, so that each two rows still meet.
     """
+    tiled = np.array(sorted(hot or {}), np.int64)
+    tiles = np.array([hot[k] for k in tiled.tolist()] if hot else [], np.int64)
     by_hash = np.argsort(ranked)
     sorted_ranked = ranked[by_hash]
     for batch in batches:
@@ -78,15 +87,76 @@ def _signatures(batches, ranked: np.ndarray, threshold: float):
                 less = flat[d, segment] - c + salt[segment]
                 flat += salt
             whole_doc = np.repeat(np.nonzero(signs)[0], m)
-            sig = np.concatenate([flat[signs].ravel(), less]).view(np.int64)
-            row = np.concatenate([whole_doc, d])
-            whole = np.concatenate([np.ones(len(whole_doc), bool), np.zeros(len(d), bool)])
+            sig = flat[signs].ravel() & ~np.uint64(1)
+            row = whole_doc
+            if not only_whole:
+                sig, row = np.concatenate([sig, less | np.uint64(1)]), np.concatenate([row, d])
+            sig = sig.view(np.int64)
+            if len(tiled):
+                at = np.minimum(np.searchsorted(tiled, sig & ~1), len(tiled) - 1)
+                many = np.where(tiled[at] == sig & ~1, tiles[at], 0)
+                if many.any():
+                    own_tile = (_mix(ids[row].view(np.uint64)) >> np.uint64(20)).astype(np.int64)
+                    pick = np.nonzero(many)[0]
+                    copy, n = np.repeat(pick, many[pick]), many[pick]
+                    other = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
+                    mine = own_tile[copy] % many[copy]
+                    low, high = np.minimum(mine, other), np.maximum(mine, other)
+                    moved = _mix((sig[copy] & ~1).view(np.uint64) + _mix((low * 1_000_003 + high + 1).view(np.uint64))) & ~np.uint64(1)
+                    cool = many == 0
+                    sig, row = np.concatenate([sig[cool], moved.view(np.int64) | (sig[copy] & 1)]), np.concatenate([row[cool], row[copy]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(whole), *[pa.array(sketch[w][row].view(np.int64)) for w in range(SKETCH_WORDS)]],
-                names=["sig", "id", "size", "whole", *[f"w{w}" for w in range(SKETCH_WORDS)]],
+                [pa.array(sig), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), *[pa.array(sketch[w][row].view(np.int64)) for w in range(SKETCH_WORDS)]],
+                names=["sig", "id", "size", *[f"w{w}" for w in range(SKETCH_WORDS)]],
             )
 
 
+def _pairs(batches, threshold: float):
+    """Pairs (a, b) that pass the size and sketch tests, from rows in order of sig.
+
+    Whole segments come first under each signature, so every match is a whole segment with a later row. Between batches only the whole
+    segments of the last signature are kept. Matches are tested in vectors and only those that pass leave the task.
+    """
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        carried = 0
+        if held is not None and len(held[0]) and held[0][-1] | 1 == cols[0][0] | 1:
+            carried = len(held[0])
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        sig, ids, sizes, *sketch = cols
+        key = sig | 1
+        ends = np.append(np.nonzero(key[1:] != key[:-1])[0] + 1, len(key))
+        sizes_of = np.diff(ends, prepend=0)
+        end = np.repeat(ends, sizes_of)
+        index = np.arange(len(key))
+        first = np.maximum(index + 1, carried)
+        count = np.where(sig & 1 == 0, np.maximum(end - first, 0), 0)
+        lefts = np.nonzero(count)[0]
+        left_count = count[lefts]
+        total = np.cumsum(left_count)
+        start = 0
+        while start < len(lefts):
+            done = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, done + CHUNK, side="right")))
+            n = left_count[start:stop]
+            i = np.repeat(lefts[start:stop], n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lefts[start:stop]], n)
+            start = stop
+            apart = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in sketch)  # of unsigned words: the count of a signed one is that of its magnitude
+            near = np.nonzero(apart <= difference_bound(sizes[i], sizes[j], threshold))[0]
+            i, j = i[near], j[near]
+            fit = (ids[i] != ids[j]) & (np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
+            i, j = i[fit], j[fit]
+            if len(i):
+                pair = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+        last = np.nonzero((key == key[-1]) & (sig & 1 == 0))[0]
+        held = [c[last] for c in cols]
+
+
 def classes(sets: DataFrame, key: str, terms: str) -> DataFrame:
     """(key, rep): every member with the smallest key that has the same set of terms."""
     print_ = sets.select(key, F.sha2(F.concat_ws(" ", terms), 256).alias("print"))
@@ -94,12 +164,13 @@ def classes(sets: DataFrame, key: str, terms: str) -> DataFrame:
     return print_.join(reps, "print").select(key, "rep")
 
 
-def similar_classes(reps: DataFrame, threshold: float) -> DataFrame:
+def similar_classes(reps: DataFrame, threshold: float, hot_rows: int = HOT) -> DataFrame:
     """(a, b, jaccard), a < b: all pairs of rows of ``reps`` (id, terms: a sorted array of distinct terms) at or above ``threshold``.
 
     Two sets at the threshold differ in at most ``difference_bound`` terms; cut into half as many segments (and one
     more), they have a segment that differs in one term at most, hence the same signature as a whole or after the deletion of
-    one term on one side. The equality join of whole signatures with whole and one-deletion signatures finds it. A match goes on
+    one term on one side. The equality join of whole signatures with whole and one-deletion signatures finds it: rows meet by
+    hash of the signature, are sorted by it, and are matched in the stream. A signature of very many rows is spread over tiles. A match goes on
     only if the sizes admit it and two 128-bit parity sketches differ in no more bits than the bound (terms that differ are
     at least as many as sketch bits that differ). The survivors are verified on their terms. Every test is exact: no
     pair at the threshold is lost.
@@ -110,20 +181,15 @@ def similar_classes(reps: DataFrame, threshold: float) -> DataFrame:
         sized.select(F.explode("terms").alias("t")).groupBy("t").count().orderBy(F.col("count").desc(), "t").limit(RANKED_TERMS).select(F.xxhash64("t").alias("h")).collect()
     )
     ranked = np.array([r.h for r in common], np.int64)
-    schema = reps.select("id").schema.simpleString()[7:-1]
-    signed = sized.select("id", "size", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes")).mapInArrow(
-        lambda it: _signatures(it, ranked, threshold), f"sig long, {schema}, size int, whole boolean, w0 long, w1 long"
-    )
-    ratio = (1 - threshold) / (1 + threshold)
-    bound = f"CAST(floor({ratio!r} * (l.size + r.size) + 1e-9) AS INT)"
-    matched = spark.sql(
-        f"""SELECT DISTINCT least(l.id, r.id) AS a, greatest(l.id, r.id) AS b
-            FROM {{signed}} l JOIN {{signed}} r ON l.sig = r.sig AND l.whole AND l.id <> r.id
-             AND (NOT r.whole OR l.id < r.id)
-             AND least(l.size, r.size) >= {threshold!r} * greatest(l.size, r.size) - 1e-9
-             AND bit_count(l.w0 ^ r.w0) + bit_count(l.w1 ^ r.w1) <= {bound}""",
-        signed=signed,
-    )
+    hashed = sized.select(F.col("id").cast("long").alias("id"), "size", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes"))
+    schema = "sig long, id long, size int, w0 long, w1 long"
+    crowded = hashed.mapInArrow(lambda it: _signatures(it, ranked, threshold, only_whole=True), schema).groupBy("sig").count().where(F.col("count") > hot_rows)
+    hot = {r.sig: -(-2 * r["count"] // hot_rows) for r in crowded.collect()}  # fewer than signed segments / hot_rows
+    signed = hashed.mapInArrow(lambda it: _signatures(it, ranked, threshold, hot), schema)
+    n_rows = sized.agg(F.sum(F.col("size") * 2.5)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / PARTITION_ROWS))
+    ordered = signed.repartition(parts, F.shiftright("sig", 1)).sortWithinPartitions("sig")
+    matched = ordered.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long").distinct()
     left = reps.select(F.col("id").alias("a"), F.col("terms").alias("terms_a"))
     right = reps.select(F.col("id").alias("b"), F.col("terms").alias("terms_b"))
     shared = F.size(F.array_intersect("terms_a", "terms_b"))

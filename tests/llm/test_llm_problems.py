@@ -111,8 +111,8 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
-def test_no_similar_pair_is_lost(spark, threshold):
+@pytest.mark.parametrize(("threshold", "hot"), [(0.7, 10**6), (0.7, 3), (0.8, 10**6), (0.9, 5)])
+def test_no_similar_pair_is_lost(spark, threshold, hot):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(150)]
     sets = {}
@@ -131,7 +131,7 @@ def test_no_similar_pair_is_lost(spark, threshold):
             sets[i + j] = other
     want = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) * 10 >= len(sets[a] | sets[b]) * round(threshold * 10)}
     df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, terms array<string>")
-    assert {(r.a, r.b) for r in near_duplicates.similar_classes(df, threshold).collect()} == want
+    assert {(r.a, r.b) for r in near_duplicates.similar_classes(df, threshold, hot).collect()} == want
     assert want
 
 
@@ -157,6 +157,19 @@ def test_long_chains_connect(spark):
     assert got == {**{i: 1 for i in range(1, 201)}, 500: 500, 501: 500, 700: 500}
 
 
+def test_sketch_uses_every_bit(spark):
+    """Sets over a vocabulary large enough to set the sketches' sign bits on one side only."""
+    rng = random.Random(6)
+    words = [f"term{i}" for i in range(4000)]
+    sets = {}
+    for i in range(0, 200, 2):
+        sets[i] = set(rng.sample(words, 40))
+        sets[i + 1] = set(sorted(sets[i])[: 40 - i % 9])
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, terms array<string>")
+    want = {(a, b) for a, b in combinations(sets, 2) if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in near_duplicates.similar_classes(df, 0.7).collect()} == want and len(want) >= 100
+
+
 # 5
 
 
