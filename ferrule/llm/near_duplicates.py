@@ -16,9 +16,11 @@ from ferrule.tables import durable, table
 RANKED_TERMS = 2048
 #: Numbers of segments in use are multiples of this.
 STEP = 6
-SKETCH_WORDS = 2
+SKETCH_WORDS = 3
 #: A signature of more whole segments than this is spread over tiles; pairs are formed in chunks of at most CHUNK.
-HOT, CHUNK = 50_000, 2_000_000
+HOT, CHUNK = 50_000, 131_072
+#: A signature with at least this many matches is tested as a block of its own.
+BLOCK_PAIRS = 2_000
 #: Rows of a shuffle partition of signatures that are aimed at.
 PARTITION_ROWS = 1_500_000
 
@@ -115,7 +117,8 @@ def _pairs(batches, threshold: float):
     """Pairs (a, b) that pass the size and sketch tests, from rows in order of sig.
 
     Whole segments come first under each signature, so every match is a whole segment with a later row. Between batches only the whole
-    segments of the last signature are kept. Matches are tested in vectors and only those that pass leave the task.
+    segments of the last signature are kept. Matches are tested in vectors, those of a crowded signature as one block, and only
+    those that pass leave the task.
     """
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -132,8 +135,24 @@ def _pairs(batches, threshold: float):
         sizes_of = np.diff(ends, prepend=0)
         end = np.repeat(ends, sizes_of)
         index = np.arange(len(key))
+        whole = sig & 1 == 0
         first = np.maximum(index + 1, carried)
-        count = np.where(sig & 1 == 0, np.maximum(end - first, 0), 0)
+        count = np.where(whole, np.maximum(end - first, 0), 0)
+        words = [w.view(np.uint64) for w in sketch]  # unsigned: the bit count of a signed word is that of its magnitude
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        begins = ends - sizes_of
+        heavy = np.nonzero(np.add.reduceat(count, begins) >= BLOCK_PAIRS)[0]
+        for g in heavy.tolist():
+            begin, stop = int(begins[g]), int(ends[g])
+            inner = begin + int(whole[begin:stop].sum())
+            after = max(begin, carried)
+            most = int(difference_bound(sizes[begin:inner].max(), sizes[after:stop].max(), threshold))
+            right, rows = [w[after:stop] for w in words], max(1, CHUNK // (stop - after))
+            for top in range(begin, inner, rows):
+                apart = sum(np.bitwise_count(w[top : min(top + rows, inner), None] ^ r[None, :]) for w, r in zip(words, right))
+                i, j = np.nonzero(apart <= most)
+                found.append((i + top, j + after))
+            count[begin:stop] = 0
         lefts = np.nonzero(count)[0]
         left_count = count[lefts]
         total = np.cumsum(left_count)
@@ -143,17 +162,20 @@ def _pairs(batches, threshold: float):
             stop = max(start + 1, int(np.searchsorted(total, done + CHUNK, side="right")))
             n = left_count[start:stop]
             i = np.repeat(lefts[start:stop], n)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lefts[start:stop]], n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - first[lefts[start:stop]], n)
             start = stop
-            apart = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in sketch)  # of unsigned words: the count of a signed one is that of its magnitude
-            near = np.nonzero(apart <= difference_bound(sizes[i], sizes[j], threshold))[0]
-            i, j = i[near], j[near]
-            fit = (ids[i] != ids[j]) & (np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
+            apart = sum(np.bitwise_count(w[i] ^ w[j]) for w in words)
+            near = np.nonzero(apart <= int(difference_bound(sizes[i].max(), sizes[j].max(), threshold)))[0]
+            found.append((i[near], j[near]))
+        if found:
+            i, j = (np.concatenate(x) for x in zip(*found))
+            apart = sum(np.bitwise_count(w[i] ^ w[j]) for w in words)
+            fit = (apart <= difference_bound(sizes[i], sizes[j], threshold)) & (ids[i] != ids[j]) & (np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
             i, j = i[fit], j[fit]
             if len(i):
                 pair = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-        last = np.nonzero((key == key[-1]) & (sig & 1 == 0))[0]
+        last = np.nonzero((key == key[-1]) & whole)[0]
         held = [c[last] for c in cols]
 
 
@@ -171,7 +193,7 @@ def similar_classes(reps: DataFrame, threshold: float, hot_rows: int = HOT) -> D
     more), they have a segment that differs in one term at most, hence the same signature as a whole or after the deletion of
     one term on one side. The equality join of whole signatures with whole and one-deletion signatures finds it: rows meet by
     hash of the signature, are sorted by it, and are matched in the stream. A signature of very many rows is spread over tiles. A match goes on
-    only if the sizes admit it and two 128-bit parity sketches differ in no more bits than the bound (terms that differ are
+    only if the sizes admit it and two 192-bit parity sketches differ in no more bits than the bound (terms that differ are
     at least as many as sketch bits that differ). The survivors are verified on their terms. Every test is exact: no
     pair at the threshold is lost.
     """
@@ -182,7 +204,7 @@ def similar_classes(reps: DataFrame, threshold: float, hot_rows: int = HOT) -> D
     )
     ranked = np.array([r.h for r in common], np.int64)
     hashed = sized.select(F.col("id").cast("long").alias("id"), "size", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes"))
-    schema = "sig long, id long, size int, w0 long, w1 long"
+    schema = "sig long, id long, size int, " + ", ".join(f"w{w} long" for w in range(SKETCH_WORDS))
     crowded = hashed.mapInArrow(lambda it: _signatures(it, ranked, threshold, only_whole=True), schema).groupBy("sig").count().where(F.col("count") > hot_rows)
     hot = {r.sig: -(-2 * r["count"] // hot_rows) for r in crowded.collect()}  # fewer than signed segments / hot_rows
     signed = hashed.mapInArrow(lambda it: _signatures(it, ranked, threshold, hot), schema)
