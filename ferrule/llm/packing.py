@@ -83,8 +83,8 @@ def packed(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: s
     """(pack_id, container_id, key, piece, start, n_tokens): every text in one container per capacity; longer ones in pieces of full capacity and a rest.
 
     The tokens are counted once and the sizes written to the checkpoint folder. Items are sorted into runs of equal size, ordered within a
-    run by a hash lane and key, and so ranked without a single task ever holding a run: the lanes' counts (at most capacity x lanes
-    per limit) give each lane its first rank. ``best_fit_plan`` works on the counts of the runs. Each item then finds its
+    run by a hash lane and key, and so ranked without a single task ever holding a run: the counts of the lanes before give
+    each lane its first rank. ``best_fit_plan`` works on the counts of the runs. Each item then finds its
     container by joining its size and rank with the plan, whose size the capacities bound. A text of 0 tokens (null or
     empty) is kept with a null container: it needs none. Rows repeated in the table are packed as often as they occur. A
     limit that is null or below 1 is ignored.
@@ -95,17 +95,15 @@ def packed(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: s
     parts = pieces(sized, bounds, key)
     empty = parts.where("size = 0").select("pack_id", F.lit(None).cast("long").alias("container_id"), key, "piece", "start", F.col("size").alias("n_tokens"))
     items = parts.where("size > 0").withColumn("lane", F.pmod(F.xxhash64(key, "piece"), F.lit(lanes)).cast("int"))
-    counted = items.groupBy("pack_id", "capacity", "size", "lane").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts: dict = defaultdict(lambda: defaultdict(int))
-    starts = []
-    for row in sorted(counted):
-        run = counts[row.pack_id, row.capacity]
-        starts.append((row.pack_id, row.size, row.lane, run[row.size]))
-        run[row.size] += row.n
+    counted = durable(items.groupBy("pack_id", "capacity", "size", "lane").agg(F.count(F.lit(1)).alias("n")))
+    counts: dict = defaultdict(dict)
+    for row in counted.groupBy("pack_id", "capacity", "size").agg(F.sum("n").alias("n")).collect():  # at most the capacity's number of rows for each limit
+        counts[row.pack_id, row.capacity][row["size"]] = row.n
     plan = [(pack, *step) for (pack, capacity), run in counts.items() for step in best_fit_plan(run, capacity)]
-    offsets = spark.createDataFrame(starts, "pack_id int, size long, lane int, offset long")
+    before = Window.partitionBy("pack_id", "size").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("pack_id", "size", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     order = Window.partitionBy("pack_id", "size", "lane").orderBy(key, "piece")
-    ranked = items.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(offsets), ["pack_id", "size", "lane"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    ranked = items.withColumn("rank", F.row_number().over(order) - 1).join(offsets, ["pack_id", "size", "lane"]).withColumn("rank", F.col("rank") + F.col("offset"))
     placed = ranked.join(F.broadcast(spark.createDataFrame(plan, PLAN)), ["pack_id", "size"]).where("rank >= low AND rank < high")
     container = F.col("container") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))
     return placed.select("pack_id", container.cast("long").alias("container_id"), key, "piece", "start", F.col("size").alias("n_tokens")).unionByName(empty)
