@@ -128,6 +128,8 @@ def _n(pattern: str) -> str:
 _AND, _OR, _NOT, _ADJ = _n(" and "), _n(" or "), _n(" not "), _n(r" adj\d* ")
 _OPS = f"({_AND} + {_OR} + {_NOT} + {_ADJ})"
 _WORDS = r"""len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '\[[^\]]*\]', ' ', 'g'), '\.[a-z]{2}(,[a-z]{2})*\.', ' ', 'g'), ' (and|or|not|adj\d*) ', ' ', 'g'), 'exp ', ' ', 'g'), '[^\s()]+'))"""
+#: Groups of two equal keywords: leaving out either one gives the same query.
+_TWINS = r"len(list_filter(list_zip(regexp_extract_all(l, '\(([^()]+) (?:and|or|not|adj\d*) ([^()]+)\)', 1), regexp_extract_all(l, '\(([^()]+) (?:and|or|not|adj\d*) ([^()]+)\)', 2)), lambda x: x[1] = x[2]))"
 _MESH = f"({_n('exp ')} + {_n('.mesh terms.')})"
 _BOTH = f"({_n('.title/abstract.')} + {_n('.tiab.')} + {_n(r'[.]ti,ab[.]')} + {_n(r'[.]tw[.]')} + {_n(r'[.]mp[.]')})"
 _TITLE = f"({_n(r'[[]title[]]')} + {_BOTH})"
@@ -142,7 +144,7 @@ ORACLES = {
     "measurements_long": f"WITH {_C} SELECT hash, 'keywords' AS name, CAST(1 + {_OPS} AS DOUBLE) AS value FROM c UNION ALL SELECT hash, 'terms', CAST({_WORDS} AS DOUBLE) FROM c UNION ALL SELECT hash, 'truncated', CAST({_n('[*]')} AS DOUBLE) FROM c",
     "mesh_explosion_ratio": f"WITH {_C} SELECT hash, round(CASE WHEN {_MF} > 0 THEN {_MESH} / {_MF} ELSE 0 END, 6) AS ratio FROM c",
     "clause_variations": f"""WITH {_C}, v AS (SELECT hash, 0 AS transformation_id, {_AND} + {_OR} AS n FROM c UNION ALL SELECT hash, 1, 2 * {_ADJ} FROM c UNION ALL SELECT hash, 2, {_MESH} FROM c
-UNION ALL SELECT hash, 3, 2 * {_TITLE} FROM c UNION ALL SELECT hash, 4, {_ADJ} FROM c UNION ALL SELECT hash, 5, 2 * {_OPS} FROM c) SELECT * FROM v WHERE n > 0""",
+UNION ALL SELECT hash, 3, 2 * {_TITLE} FROM c UNION ALL SELECT hash, 4, {_ADJ} FROM c UNION ALL SELECT hash, 5, 2 * {_OPS} - {_TWINS} FROM c) SELECT * FROM v WHERE n > 0""",
     "rewrite_all_and": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, {_OPS} AS and_clauses, 0 AS or_clauses, 0 AS not_clauses, {_MF} AS mesh_keywords, {_MESH} AS mesh_exploded FROM c",
     "rewrite_all_or": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, 0 AS and_clauses, {_OPS} AS or_clauses, 0 AS not_clauses, {_MF} AS mesh_keywords, {_MESH} AS mesh_exploded FROM c",
     "rewrite_simplify_operators": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, {_AND} AS and_clauses, {_OR} + {_NOT} + {_ADJ} AS or_clauses, 0 AS not_clauses, {_MF} AS mesh_keywords, {_MESH} AS mesh_exploded FROM c",
