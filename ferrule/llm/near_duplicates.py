@@ -269,9 +269,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pmid, class_id, group_id, links): one row per record with enough terms; records that resemble no other are groups of one.
 
-    ``links`` counts the other classes its class is linked to.
+    Classes are linked at the similarity of ``p4_found``; ``links`` counts the other classes its class is linked to.
     """
-    members, links, _ = near_duplicates(table(spark, sf_dir, "medline"), 0.8, 30)
+    members, links, _ = near_duplicates(table(spark, sf_dir, "medline"), 0.7, 30)
     links = durable(links)
     ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     groups = connected(links).withColumnRenamed("id", "rep")

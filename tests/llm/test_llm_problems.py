@@ -151,6 +151,15 @@ def test_records_pairs_and_groups(spark, tmp_path):
     assert near_duplicates.p4_groups(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_groups_link_the_pairs_found(spark, tmp_path):
+    """Records that share 30 of 40 terms (0.75) are a pair, so they are linked and in one group; those that share 27 of 40 are not."""
+    words = [f"term{i}" for i in range(60)]
+    data = [(1, " ".join(words[:40]), None, T0, 1, None, 0), (2, " ".join(words[:30]), None, T0, 2, None, 0), (3, " ".join(words[13:43]), None, T0, 3, None, 0)]
+    spark.createDataFrame(data, MEDLINE).write.parquet(f"{tmp_path}/medline.parquet")
+    assert rows(near_duplicates.p4_found(spark, str(tmp_path))) == [(1, 2)]
+    assert rows(near_duplicates.p4_groups(spark, str(tmp_path))) == [(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 3, 0)]
+
+
 def test_long_chains_connect(spark):
     edges = [(i, i + 1) for i in range(1, 200)] + [(500, 501), (700, 501)]
     got = dict(rows(near_duplicates.connected(spark.createDataFrame(edges, "a long, b long"))))
