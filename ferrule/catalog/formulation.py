@@ -76,14 +76,15 @@ def id3_query(s, d):
 
 
 def objective_query(s, d):
-    """The documents of the formulated query, per heading."""
+    """(topic, doc_id, query): the documents of the formulated queries, per heading: ``terms``, and ``headings`` for the terms with headings."""
     postings, docs, terms = ix.delivered_postings(s, d).persist(), ix.medline_documents(s, d).persist(), _terms(s, d).persist()
+    judged = _judged(s, d).persist()
     made = {}
-    for h in HEADINGS[:1]:
-        node = fo.ObjectiveFormulator().formulate(s, _judged(s, d).where(F.col("topic") == h), docs, terms, postings)
-        if node is not None:
-            made[h] = node
-    return matching(made, postings)
+    for h in HEADINGS:
+        found = fo.ObjectiveFormulator().formulate(s, judged.where(F.col("topic") == h), docs, terms, postings)
+        made |= {f"{h}/{how}": node for how, node in zip(("terms", "headings"), found) if node is not None}
+    hits, name = matching(made, postings), F.split("topic", "/")
+    return hits.select(name[0].alias("topic"), "doc_id", name[1].alias("query"))
 
 
 def top_mesh(s, d):

@@ -277,44 +277,46 @@ def tree_to_query(tree: tuple) -> Node | None:
 
 @dataclass(frozen=True)
 class ObjectiveFormulator:
-    """A query from judged documents: cut-offs on development and population frequency are tried and the best query on validation is kept."""
+    """Queries from judged documents: cut-offs on development and population frequency are tried and the terms best on validation are kept.
+
+    Then numbers of the most frequent headings are added to these terms, and the best on validation is kept again.
+    """
 
     dev_cuts: tuple[float, ...] = (0.15, 0.20, 0.25, 0.30)
     pop_cuts: tuple[float, ...] = (0.001, 0.01, 0.02)
-    mesh_counts: tuple[int, ...] = (1, 5, 10)
+    mesh_counts: tuple[int, ...] = (1, 5, 10, 15, 20)
     rejected_headings: tuple[str, ...] = ("humans", "male", "female", "adult", "aged", "child")
     seed: int = 1000
     trace: list = field(default_factory=list, compare=False)
 
-    def formulate(self, spark: SparkSession, judged: DataFrame, docs: DataFrame, terms: DataFrame, postings: DataFrame) -> Node | None:
-        """``judged`` (topic, doc_id) are the relevant documents of one topic, ``terms`` (doc_id, term) of the collection, ``postings`` its index."""
+    def formulate(self, spark: SparkSession, judged: DataFrame, docs: DataFrame, terms: DataFrame, postings: DataFrame) -> tuple[Node | None, Node | None]:
+        """The query of terms, and that of the same terms with headings.
+
+        ``judged`` (topic, doc_id) are the relevant documents of one topic, ``terms`` (doc_id, term) of the collection, ``postings`` its index.
+        """
         parts = split(judged, self.seed).persist()
         dev, val = parts.where("part = 'dev'"), parts.where("part = 'val'").select("doc_id")
         size = dev.groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
-        freq = document_frequencies(dev.join(terms, "doc_id").select("topic", "doc_id", "term")).persist()
+        freq = document_frequencies(dev.join(terms, "doc_id").select("topic", "doc_id", "term"))
         population = terms.groupBy("term").agg(F.count_distinct("doc_id").alias("pop_df"))
-        pop_size = docs.agg(F.count(F.lit(1)).alias("pop_size"))
-        best, best_score = None, -1.0
-        options: list[tuple[str, Node]] = []
-        for d in self.dev_cuts:
-            for p in self.pop_cuts:
-                kept = [r.term for r in cut_population(cut_development(freq, size, d), population, pop_size, p).orderBy(F.col("df").desc(), "term").limit(20).collect()]
-                if kept:
-                    options.append((f"{d}/{p}", Boolean("or", tuple(Keyword(t) for t in kept))))
-        headings = [r.heading for r in top_headings(dev.join(docs.select("doc_id", "mh"), "doc_id"), max(self.mesh_counts), list(self.rejected_headings)).orderBy(F.col("df").desc(), "heading").collect()]
-        for k in self.mesh_counts:
-            if headings[:k]:
-                options.append((f"mesh {k}", Boolean("or", tuple(Keyword(h, (MESH,), True) for h in headings[:k]))))
-        if options:
-            hits = matching(dict(options), postings)
-            n_val = val.count()
-            flagged = hits.join(val.withColumn("rel", F.lit(1)), "doc_id", "left").groupBy("topic").agg(F.count(F.lit(1)).alias("ret"), F.count("rel").alias("rel_ret"))
-            for r in flagged.collect():  # one row per tried query
-                recall, precision = r.rel_ret / n_val if n_val else 0.0, r.rel_ret / r.ret
-                score = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-                self.trace.append((r.topic, round(score, 6)))
-                if (score, r.topic) > (best_score, ""):
-                    best, best_score = dict(options)[r.topic], score
+        n_dev, n_docs = dev.count(), docs.count()
+        # Terms in a share of the development documents: no more than a document's terms divided by the share.
+        widest = cut_population(cut_development(freq, size, min(self.dev_cuts)), population, docs.agg(F.count(F.lit(1)).alias("pop_size")), max(self.pop_cuts)).orderBy(F.col("df").desc(), "term").collect()
+        cells = {f"{d}/{p}": [Keyword(r.term) for r in widest if r.df >= d * n_dev and r.pop_df <= p * n_docs] for d in self.dev_cuts for p in self.pop_cuts}
+        found = self._best(cells, val, postings)
+        headings = [Keyword(r.heading, (MESH,), True) for r in top_headings(dev.join(docs.select("doc_id", "mh"), "doc_id"), max(self.mesh_counts), list(self.rejected_headings)).orderBy(F.col("df").desc(), "heading").collect()]
+        widened = self._best({f"mesh {k}": [*found, *headings[:k]] for k in self.mesh_counts}, val, postings)
         parts.unpersist()
-        freq.unpersist()
-        return best
+        return tuple(Boolean("or", tuple(k)) if k else None for k in (found, widened))
+
+    def _best(self, options: dict[str, list[Keyword]], val: DataFrame, postings: DataFrame) -> list[Keyword]:
+        """The keywords of the option whose disjunction has the best F1 on the validation documents, of equal ones the first."""
+        options = {name: ks for name, ks in options.items() if ks}
+        if not options:
+            return []
+        hits = matching({name: Boolean("or", tuple(ks)) for name, ks in options.items()}, postings)
+        n_val = val.count()
+        flagged = hits.join(val.withColumn("rel", F.lit(1)), "doc_id", "left").groupBy("topic").agg(F.count(F.lit(1)).alias("ret"), F.count("rel").alias("rel_ret"))
+        scores = {r.topic: 2 * r.rel_ret / (r.ret + n_val) for r in flagged.collect()}  # one row per tried query
+        self.trace.extend((name, round(scores.get(name, 0.0), 6)) for name in options)
+        return options[max(options, key=lambda name: scores.get(name, 0.0))]

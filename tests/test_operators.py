@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.catalog import formulation as fm
 from ferrule.operators import evaluate as ev
 from ferrule.operators import formulation as fo
 from ferrule.operators import fusion as fu
@@ -201,6 +202,33 @@ def test_formulation(spark):
     assert str(fo.compose_by_similarity([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])])) == "((a[title,abstract] or b[title,abstract]) and c[title,abstract])"
 
 
+def test_objective_formulator_keeps_all_terms_and_adds_headings(spark):
+    """30 terms of equal frequency of which only the last find validation documents, and a heading (the 12th) that finds one more."""
+    judged = spark.createDataFrame([("t", i) for i in range(16)], "topic string, doc_id long")
+    part = {r.doc_id: r.part for r in fo.split(judged).collect()}
+    dev, val = ([i for i in part if part[i] == p] for p in ("dev", "val"))
+    words, headings = [f"w{j:02}" for j in range(30)], [f"h{j:02}" for j in range(18)]
+    held = {i: [("ti", w) for w in words] + [("mh", h) for h in headings] for i in dev}
+    held |= {i: [("ab", w) for w in words[25:]] for i in val[:-1]} | {val[-1]: [("mh", headings[11])]}
+    docs = spark.createDataFrame([(i, [h for f, h in held.get(i, []) if f == "mh"]) for i in range(1000)], "doc_id long, mh array<string>")
+    postings = spark.createDataFrame([(t, f, i) for i, ts in held.items() for f, t in ts], "term string, field string, doc_id long")
+    terms = postings.where("field <> 'mh'").select("doc_id", "term")
+    formulator = fo.ObjectiveFormulator()
+    of_terms, of_both = formulator.formulate(spark, judged, docs, terms, postings)
+    assert [k.text for k in of_terms.children] == words
+    assert [k.text for k in of_both.children] == words + headings[:15]
+    assert [name for name, _ in formulator.trace if "mesh" in name] == ["mesh 1", "mesh 5", "mesh 10", "mesh 15", "mesh 20"]
+
+
+def test_objective_query_has_every_heading(spark, tmp_path):
+    medline = [(i, "t", "", [fm.HEADINGS[i % 3]] if i < 24 else [], None, None) for i in range(1200)]
+    spark.createDataFrame(medline, "pmid long, ti string, ab string, mh array<string>, dcom string, loaded_at timestamp").write.parquet(f"{tmp_path}/medline.parquet")
+    postings = [(t, f, i, 1.0, 1.0) for i in range(24) for t, f in ((f"word{i % 3}", "ti"), (fm.HEADINGS[i % 3], "mh"))]
+    spark.createDataFrame(postings, "term string, field string, pmid long, tf double, pos double").write.parquet(f"{tmp_path}/postings.parquet")
+    got = fm.objective_query(spark, str(tmp_path))
+    assert rows(got) == rows(spark.createDataFrame([(fm.HEADINGS[i % 3], i, how) for i in range(24) for how in ("terms", "headings")]))
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(i, [float(i % 3), float(i % 5), 1.0], i % 2) for i in range(40)] + [(99, None, 0), (98, [], 0), (97, [0.0, 0.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
     import math
