@@ -11,6 +11,8 @@ from ferrule.llm.token_sizes import TOKENIZER, token_sizes
 from ferrule.tables import durable, table
 
 LANES, STRETCH = 256, 65_536
+#: Turns by which a source can be behind its share of the slots.
+SPARE = 32
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -25,10 +27,10 @@ def targets_of(targets: DataFrame) -> list[tuple[str, float, int]]:
     return [(r.s, r.w / total, max(1, r.r if r.r is not None else 1)) for r in rows]
 
 
-def shuffled_blocks(documents: DataFrame, sources: list[str], block: int, seed: int, tokenizer: str, lanes: int = LANES) -> DataFrame:
-    """(source, block, doc_id, n_tokens): each source's distinct texts in a hashed order, cut into blocks of equal token length.
+def shuffled_texts(documents: DataFrame, sources: list[str], seed: int, tokenizer: str, lanes: int = LANES) -> DataFrame:
+    """(source, start, doc_id, n_tokens): each source's distinct texts in a hashed order, with the tokens of the source before them.
 
-    A text belongs to the block in which its first token lies. Of equal texts the one with the smallest doc_id stays, so
+    Of equal texts the one with the smallest doc_id stays, so
     that no text can be used more often under another id. The order is by hash lane and hash; the lanes' token sums (sources x lanes
     numbers) give each lane its first position, so that no task holds a source. The result is written to the checkpoint folder.
     """
@@ -40,7 +42,7 @@ def shuffled_blocks(documents: DataFrame, sources: list[str], block: int, seed:
     starts = sums.select("source", "lane", (F.sum("t").over(Window.partitionBy("source").orderBy("lane")) - F.col("t")).alias("start"))
     within = F.sum("n_tokens").over(Window.partitionBy("source", "lane").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     position = hashed.withColumn("end", within).join(F.broadcast(starts), ["source", "lane"])  # sources of the targets x lanes
-    return position.select("source", F.floor((F.col("start") + F.col("end") - F.col("n_tokens")) / block).alias("block"), "doc_id", "n_tokens")
+    return position.select("source", (F.col("start") + F.col("end") - F.col("n_tokens")).alias("start"), "doc_id", "n_tokens")
 
 
 def schedule(spark: SparkSession, slots: int, shares: list[tuple[str, float]], stretch: int = STRETCH) -> DataFrame:
@@ -65,28 +67,31 @@ def schedule(spark: SparkSession, slots: int, shares: list[tuple[str, float]], s
 def mixed(documents: DataFrame, targets: DataFrame, block: int = 256, seed: int = 11, tokenizer: str = TOKENIZER) -> DataFrame:
     """(slot, source, doc_id, pass_no, n_tokens): the largest selection in which every source keeps its share and no text exceeds max_repeats.
 
-    Sources and targets are matched trimmed and lower-cased. A source of a texts-length A may fill repeats x A tokens; the source whose
-    repeats x A / share is smallest ends the schedule: it stops before the first slot that would need a text once more than
-    allowed. A source without any text is left out and the shares of the others grow in proportion; the report shows it with 0. Slots draw the blocks of their
-    source in turn, again from the first when all are used: pass_no counts from 1. Rows without doc_id or with an empty text
-    cannot be drawn.
+    Sources and targets are matched trimmed and lower-cased. A source may fill its repeats x its tokens; the smallest
+    repeats x tokens / share of any source is the total size, and of this size every source gets its share in tokens. A source without any text is left out
+    and the shares of the others grow in proportion; the report shows it with 0. Texts are drawn in the source's hashed order, again from the first when
+    all are used: pass_no counts from 1. The draw across the end of a source's part is kept if at least half of it lies within, so a source
+    misses its part by half a text at most. A draw stands in the slot in which its first token falls when each slot of the source takes ``block`` tokens. Rows
+    without doc_id or with an empty text cannot be drawn.
     """
     spark = documents.sparkSession
     wanted = targets_of(targets)
     schema = "slot long, source string, doc_id long, pass_no long, n_tokens long"
-    blocks = shuffled_blocks(documents, [s for s, _, _ in wanted], block, seed, tokenizer)
-    held = {r.source: r.blocks for r in blocks.groupBy("source").agg((F.max("block") + 1).alias("blocks")).collect()}
+    texts = shuffled_texts(documents, [s for s, _, _ in wanted], seed, tokenizer)
+    held = {r.source: r.tokens for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
     usable = [(s, w, held[s], n) for s, w, n in wanted if s in held]
     if not usable:
         return spark.createDataFrame([], schema)
     total = sum(w for _, w, _, _ in usable)
-    longest = math.ceil(min(b * n / (w / total) for _, w, b, n in usable)) + 64
+    size = min(t * n / (w / total) for _, w, t, n in usable)
+    parts = [(s, t, size * w / total, min(n, math.ceil(size * w / total / t))) for s, w, t, n in usable]
+    fixed = spark.createDataFrame(parts, "source string, tokens long, part double, passes long")
+    begin = (F.col("pass_no") - 1) * F.col("tokens") + F.col("start")
+    passes = texts.join(F.broadcast(fixed), "source").withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("long"), "passes")))  # one row a source of the targets
+    drawn = passes.where(begin + F.col("n_tokens") / 2 <= F.col("part")).withColumn("turn", F.floor(begin / block))
+    longest = math.ceil(size / block) + math.ceil(SPARE / min(w / total for _, w, _, _ in usable))
     turns = schedule(spark, longest, [(s, w / total) for s, w, _, _ in usable])
-    fixed = spark.createDataFrame([(s, b, b * n) for s, _, b, n in usable], "source string, blocks long, allowed long")
-    drawn = turns.join(F.broadcast(fixed), "source")  # one row a source of the targets
-    stop = drawn.where("turn >= allowed").agg(F.coalesce(F.min("slot"), F.lit(longest)).alias("stop"))
-    slots = drawn.crossJoin(F.broadcast(stop)).where("slot < stop").select("slot", "source", F.pmod("turn", "blocks").alias("block"), (F.floor(F.col("turn") / F.col("blocks")) + 1).alias("pass_no"))
-    return slots.join(blocks, ["source", "block"]).select("slot", "source", "doc_id", "pass_no", "n_tokens")
+    return drawn.join(turns, ["source", "turn"], "left").select(F.coalesce("slot", F.lit(longest)).alias("slot"), "source", "doc_id", "pass_no", "n_tokens")
 
 
 def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:

@@ -306,6 +306,18 @@ def test_mix_keeps_shares_and_repeats(spark):
     assert mixing.mixed(df.limit(0), targets).count() == 0
 
 
+@pytest.mark.parametrize("words, share, size", [(1000, 0.05, 40_000), (30, 0.5, 120)])
+def test_mix_of_a_source_with_one_text(spark, words, share, size):
+    """A source counts with its tokens, be its only text longer or shorter than a block: the mix has repeats x tokens / share of them."""
+    data = [(0, "word " * words, "one")] + [(i, f"{i} " + "word " * (size // 400), "rest") for i in range(1, 500)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("one", share, 2), ("rest", 1 - share, 1)], MIX)
+    picked = mixing.mixed(df, targets).collect()
+    one = [r.n_tokens for r in picked if r.source == "one"]
+    assert sorted(r.pass_no for r in picked if r.source == "one") == [1, 2]
+    assert abs(sum(r.n_tokens for r in picked) - sum(one) / share) <= max(r.n_tokens for r in picked if r.source == "rest") / 2
+
+
 def test_schedule_is_even_and_turns_count(spark):
     got = mixing.schedule(spark, 1000, [("a", 0.5), ("b", 0.3), ("c", 0.2)], stretch=64).orderBy("slot").collect()
     seen = Counter()
