@@ -68,10 +68,8 @@ def info_gain(s, d):
 
 
 def id3_query(s, d):
-    """The query that a decision tree over the terms of titles gives for the heading hypertension."""
-    terms = ix.delivered_postings(s, d).where("field = 'ti'").select("doc_id", "term").distinct().persist()
-    labels = _labels(s, d).persist()
-    query = fo.tree_query(fo.id3(terms, labels, max_depth=3))
+    """The query that a decision tree over the terms of titles and abstracts gives for the heading hypertension."""
+    query = fo.tree_query(fo.id3(_terms(s, d), _labels(s, d)))
     return s.createDataFrame([(None if query is None else to_json(query),)], "query string")
 
 

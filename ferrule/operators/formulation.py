@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.plans.ast import ABSTRACT, MESH, TITLE, Boolean, Keyword, Node
 from ferrule.plans.boolean import matching
+from ferrule.tables import durable
 
 
 def split_order(doc_id: Column | str = "doc_id", seed: int = 1000) -> Column:
@@ -59,10 +60,14 @@ def information_gain(labelled_terms: DataFrame, labels: DataFrame) -> DataFrame:
     """
     total = labels.agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("pos"))
     per = labelled_terms.join(labels, "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("n_with"), F.count_if("label").alias("pos_with")).crossJoin(F.broadcast(total))
+    return per.select("term", "n_with", "pos_with", _gain().alias("gain"))
+
+
+def _gain() -> Column:
+    """The gain of rows with n, pos, n_with, pos_with."""
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     n, w = F.col("n"), F.col("n_with")
-    gain = entropy(rate(F.col("pos"), n)) - w / n * entropy(rate(F.col("pos_with"), w)) - (n - w) / n * entropy(rate(F.col("pos") - F.col("pos_with"), n - w))
-    return per.select("term", "n_with", "pos_with", gain.alias("gain"))
+    return entropy(rate(F.col("pos"), n)) - w / n * entropy(rate(F.col("pos_with"), w)) - (n - w) / n * entropy(rate(F.col("pos") - F.col("pos_with"), n - w))
 
 
 @dataclass
@@ -75,32 +80,113 @@ class Tree:
     absent: "Tree | None" = None
 
 
-def id3(terms: DataFrame, labels: DataFrame, candidates: list[str] | None = None, max_depth: int = 4, min_docs: int = 2) -> Tree:
-    """ID3 on the presence of terms. Each node is one aggregation; the driver sees one term and two counts per node."""
-    n, pos = labels.agg(F.count(F.lit(1)), F.count_if("label")).first()
-    if max_depth == 0 or n < min_docs or pos in (0, n):
-        return Tree(label=n > 0 and 2 * pos >= n)
-    held = terms if candidates is None else terms.where(F.col("term").isin(candidates))
-    best = information_gain(held.select("doc_id", "term").distinct(), labels).where("gain > 1e-9").orderBy(F.round("gain", 9).desc(), "term").first()
-    if best is None:
-        return Tree(label=2 * pos >= n)
-    with_term = terms.where(F.col("term") == best.term).select("doc_id").distinct()
-    go = lambda how: id3(terms, labels.join(with_term, "doc_id", how), candidates, max_depth - 1, min_docs)
-    return Tree(term=best.term, present=go("left_semi"), absent=go("left_anti"))
+#: A node of at most this many (document, term) rows is grown to its leaves by one task.
+LOCAL_ROWS = 1_000_000
+
+
+def _grow(rows, depth: int | None, min_docs: int) -> list:
+    """The subtree of rows (doc_id, label, term or null) in pre-order: the term of an inner node, the label of a leaf; ``depth`` levels at most."""
+    import numpy as np
+    import pandas as pd
+
+    doc, ids = pd.factorize(rows["doc_id"])
+    y = np.zeros(len(ids), bool)
+    y[doc] = rows["label"].to_numpy(bool)
+    has = rows["term"].notna().to_numpy()
+    words, term = np.unique(rows["term"][has].to_numpy(str), return_inverse=True)
+
+    def h(pos, n):
+        p = np.divide(pos, n, out=np.zeros(len(pos)), where=n > 0)
+        mixed = (p > 0) & (p < 1)
+        q = np.where(mixed, p, 0.5)
+        return np.where(mixed, -(q * np.log2(q) + (1 - q) * np.log2(1 - q)), 0.0)
+
+    out, stack = [], [(np.arange(len(ids)), doc[has], term, 0)]
+    while stack:
+        docs, d, t, level = stack.pop()
+        n, pos = len(docs), int(y[docs].sum())
+        gain = np.zeros(0)
+        if level != depth and n >= min_docs and 0 < pos < n:
+            held, at = np.unique(t, return_inverse=True)
+            w, p = np.bincount(at, minlength=len(held)), np.bincount(at, y[d], minlength=len(held))
+            gain = h(np.array([pos]), np.array([n])) - w / n * h(p, w) - (n - w) / n * h(pos - p, n - w)
+        if not (gain > 1e-9).any():
+            out.append(2 * pos >= n)
+            continue
+        best = held[np.argmax(np.round(gain, 9))]
+        out.append(str(words[best]))
+        with_term = np.zeros(len(ids), bool)
+        with_term[d[t == best]] = True
+        for side in (~with_term, with_term):
+            stack.append((docs[side[docs]], d[side[d]], t[side[d]], level + 1))
+    return out
+
+
+def id3(terms: DataFrame, labels: DataFrame, candidates: list[str] | None = None, max_depth: int | None = None, min_docs: int = 2, local_rows: int = LOCAL_ROWS) -> Tree:
+    """ID3 on the presence of terms, until leaves are pure or no term has a gain.
+
+    All nodes of a level are split by one aggregation, and the documents' nodes are written to the checkpoint folder; a node of few rows
+    is grown to its leaves by one task. The driver sees one term and two counts per node.
+    """
+    import json
+
+    import pandas as pd
+
+    held = durable((terms if candidates is None else terms.where(F.col("term").isin(candidates))).select("doc_id", "term").distinct())
+    sizes = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
+    at = durable(labels.select("doc_id", "label", F.lit(0).alias("node")))
+    root = Tree()
+    nodes, level = {0: root}, 0
+    while nodes:
+        totals = {r.node: r for r in at.join(sizes, "doc_id", "left").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count_if("label").alias("pos"), F.sum(F.coalesce("k", F.lit(1))).alias("size")).collect()}
+        mixed = [] if level == max_depth else [r for r in totals.values() if r.n >= min_docs and 0 < r.pos < r.n]
+        small, large = [r.node for r in mixed if r.size <= local_rows], [r for r in mixed if r.size > local_rows]
+        for k, tree in nodes.items():
+            tree.label = k in totals and 2 * totals[k].pos >= totals[k].n
+        if small:
+            depth = None if max_depth is None else max_depth - level
+            grow = lambda key, rows: pd.DataFrame({"node": [int(key[0])], "tree": [json.dumps(_grow(rows, depth, min_docs), default=bool)]})  # noqa: B023, E731
+            for r in at.where(F.col("node").isin(small)).join(held, "doc_id", "left").groupBy("node").applyInPandas(grow, "node int, tree string").collect():
+                stack = [nodes[r.node]]
+                for item in json.loads(r.tree):
+                    tree = stack.pop()
+                    if isinstance(item, bool):
+                        tree.label = item
+                    else:
+                        tree.label, tree.term, tree.present, tree.absent = None, item, Tree(), Tree()
+                        stack += [tree.absent, tree.present]
+        if not large:
+            break
+        spark = labels.sparkSession
+        counts = spark.createDataFrame([(r.node, r.n, r.pos) for r in large], "node int, n long, pos long")
+        per = at.join(held, "doc_id").groupBy("node", "term").agg(F.count(F.lit(1)).alias("n_with"), F.count_if("label").alias("pos_with")).join(F.broadcast(counts), "node")
+        gains = per.withColumn("gain", _gain()).where("gain > 1e-9")
+        best = gains.groupBy("node").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "term")).alias("best")).select("node", "best.term").collect()
+        grown, chosen = {}, []
+        for r in best:
+            tree = nodes[r.node]
+            tree.label, tree.term, tree.present, tree.absent = None, r.term, Tree(), Tree()
+            chosen.append((r.node, r.term, len(grown)))
+            grown |= {len(grown): tree.present, len(grown) + 1: tree.absent}
+        if chosen:
+            split_by = F.broadcast(spark.createDataFrame(chosen, "node int, term string, child int"))  # one row per node of the level
+            placed = at.join(split_by, "node").join(held.withColumn("has", F.lit(True)), ["doc_id", "term"], "left")
+            at = durable(placed.select("doc_id", "label", F.when(F.col("has"), F.col("child")).otherwise(F.col("child") + 1).alias("node")))
+        nodes, level = grown, level + 1
+    return root
 
 
 def tree_query(tree: Tree, fields: tuple[str, ...] = (TITLE, ABSTRACT)) -> Node | None:
     """The disjunction of the paths to positive leaves; a path is its terms, without those it lacks. A path of only absent terms cannot be a query."""
     paths: list[tuple[list[str], list[str]]] = []
 
-    def walk(t: Tree, yes: list[str], no: list[str]) -> None:
+    stack: list[tuple[Tree, list[str], list[str]]] = [(tree, [], [])]
+    while stack:
+        t, yes, no = stack.pop()
         if t.term:
-            walk(t.present, [*yes, t.term], no)
-            walk(t.absent, yes, [*no, t.term])
+            stack += [(t.absent, yes, [*no, t.term]), (t.present, [*yes, t.term], no)]
         elif t.label and yes:
             paths.append((yes, no))
-
-    walk(tree, [], [])
     kw = lambda w: Keyword(w, fields)
     join = lambda op, ws: kw(ws[0]) if len(ws) == 1 else Boolean(op, tuple(map(kw, ws)))
     parts = [Boolean("not", (join("and", y), *map(kw, n))) if n else join("and", y) for y, n in paths]

@@ -202,6 +202,22 @@ def test_formulation(spark):
     assert str(fo.compose_by_similarity([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])])) == "((a[title,abstract] or b[title,abstract]) and c[title,abstract])"
 
 
+@pytest.mark.parametrize("local_rows", [0, 60, 10_000])
+def test_id3_grows_to_pure_leaves(spark, local_rows):
+    """A label by the first of six terms that a document lacks: every leaf is pure, however the nodes are grown."""
+    held = {i: {f"t{b}" for b in range(6) if i >> b & 1} for i in range(64)}
+    label = {i: next((b for b in range(6) if f"t{b}" not in held[i]), 6) % 2 == 1 for i in held}
+    terms = spark.createDataFrame([(i, t) for i, ts in held.items() for t in ts], "doc_id long, term string")
+    tree = fo.id3(terms, spark.createDataFrame(list(label.items()), "doc_id long, label boolean"), local_rows=local_rows)
+    for i in held:
+        node = tree
+        while node.term:
+            node = node.present if node.term in held[i] else node.absent
+        assert node.label == label[i]
+    depth = lambda t: 1 + max(depth(t.present), depth(t.absent)) if t.term else 0
+    assert depth(tree) > 4
+
+
 def test_objective_formulator_keeps_all_terms_and_adds_headings(spark):
     """30 terms of equal frequency of which only the last find validation documents, and a heading (the 12th) that finds one more."""
     judged = spark.createDataFrame([("t", i) for i in range(16)], "topic string, doc_id long")
