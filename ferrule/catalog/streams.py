@@ -21,7 +21,7 @@ def stream_event_windows(s, d):
 
 
 def stream_sessions(s, d):
-    return st.run_to_table(st.sessions(_events(s, d), "ts", "user_id", "6 hours"), "complete").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+    return st.run_to_table(st.sessions(_events(s, d), "ts", "user_id", "6 hours", late=None), "complete").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
 
 
 def stream_matches(s, d):

@@ -28,9 +28,12 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], window: str =
     return counted.select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
-def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """(key, session_start, n): runs of a key's events with gaps below ``gap``."""
-    s = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
+    """(key, session_start, n): runs of a key's events with gaps below ``gap``.
+
+    Events later than ``late`` are dropped by the watermark, in complete mode too; None keeps all, for bounded replays in complete mode.
+    """
+    s = (events if late is None else events.withWatermark(time, late)).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return s.select(key, F.col("w.start").alias("session_start"), "n")
 
 

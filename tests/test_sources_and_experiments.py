@@ -1,8 +1,10 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.catalog import streams
 from ferrule.operators import index as ix
 from ferrule.operators import scorers as sc
 from ferrule.pipeline import Experiment, evaluation_report, load_experiment
@@ -97,6 +99,13 @@ def test_experiment_description(spark, tmp_path):
         load_experiment(spark, json.dumps({"query": {"path": f"{tmp_path}/q"}}))
 
 
+def test_stream_sessions_count_late_files(spark, tmp_path):
+    """More files than two triggers read (the watermark of a batch holds from the second batch after it on), the oldest events in the last one."""
+    for i in range(18):
+        spark.createDataFrame([(i, datetime(2024, 1, 20 - i, h)) for h in (0, 1)], "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert sorted((r.user_id, r.n) for r in streams.stream_sessions(spark, str(tmp_path)).collect()) == [(i, 2) for i in range(18)]
+
+
 def test_streams(spark, collection, tmp_path):
     events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, 0, id * 20) AS ts, id % 2 AS user_id, 'a' AS event_type, 1.5D AS value FROM range(6)")
     events.coalesce(1).write.parquet(f"{tmp_path}/ev")
