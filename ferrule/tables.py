@@ -13,20 +13,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the session names in ``spark.checkpoint.dir``; a temporary one only where it names none, as in tests."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    A session in one process (master ``local[...]``), as in tests, may name none: its executors share a temporary folder. Any other
+    has executors that do not see the driver's temporary folder, so it must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="ferrule-")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="ferrule-")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder, so later reads neither recompute it nor depend on an executor.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``checkpoint_folder``."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. A temporary folder is set only where the
-    session names none, as in tests.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder, so later reads neither recompute it nor depend on an executor. It keeps its partitioning."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-"))
+        context.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in ``shared_folder``: like ``durable``, but compressed and read by column, without its partitioning."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
