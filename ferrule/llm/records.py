@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A term: a maximal run of letters and digits of the lower-cased text.
-TERM = r"[\p{L}\p{N}]+"
+#: A term: a maximal run of letters and digits of the lower-cased text; possessive, so that the match never steps back.
+TERM = r"[\p{L}\p{N}]++"
 
 
 def current_records(medline: DataFrame) -> DataFrame:
