@@ -222,6 +222,19 @@ def test_log_entropy(spark):
     assert distinctive_terms.log_entropy(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 6, 60])
+def test_weights_find_the_distinctive_terms(spark, n):
+    """In collections of fewer and of more records than the limit, with terms at both limits: the weight loses none, and counts decide."""
+    rng = random.Random(10 + n)
+    bags = {k: rng.choices(["a", "b", "c", *(f"r{i}" for i in range(30))], k=rng.randint(0, 40)) + ["edge"] * (4 if k < 8 else 0) + ["nine"] * (4 if k < 9 else 0) + ["few"] * 3 for k in range(n)}
+    records = Counter(t for bag in bags.values() for t in set(bag))
+    want = {(k, t) for k, bag in bags.items() for t, m in Counter(bag).items() if m >= 4 and records[t] <= 8}
+    df = spark.createDataFrame([(k, bag, 0.0) for k, bag in bags.items()], "pmid long, terms array<string>, collection double")
+    found = distinctive_terms.distinctive(df)
+    assert {(r.pmid, r.term) for r in found.collect()} == want and all(r.weight > 0 for r in found.collect() if n > 8)
+    assert distinctive_terms.distinctive(df.limit(0)).count() == 0
+
+
 # 7
 
 
@@ -355,3 +368,36 @@ def test_thresholds_follow_labels(spark):
     labels = spark.createDataFrame([(i, " Respiratory") for i in range(0, 40, 2)] + [(i, "cardiovascular") for i in range(1, 40, 2)] + [(None, "oncology"), (3, None)], "doc_id long, subject string")
     got = {(r.doc_id, r.subject) for r in subject_areas.assigned(docs, labels).collect()}
     assert got == {(i, "cardiovascular" if i % 2 else "respiratory") for i in range(40)}
+
+
+def test_overlapping_hits_keep_the_longest():
+    assert subject_areas.longest([(0, 5, "a b"), (0, 9, "a b c"), (2, 9, "b c"), (4, 12, "c d"), (20, 22, "x"), (20, 22, "x")]) == ["a b c", "c d", "x"]
+    assert len(subject_areas.longest([(i, i + 2, "t") for i in range(100_000)])) == 100_000
+
+
+def test_weight_rarity_and_length_make_the_score(spark, tmp_path):
+    """A weight of half halves a term's part, a rarer term says more, and a longer text scores less."""
+    import math
+
+    terms = tmp_path / "terms.tsv"
+    terms.write_text("# comment\na\ten\t1\tred; deep red\na\ten\t0.5\tblue\nb\tfr\t1\tblue; Green-Tea\n")
+    texts = [(1, "red. blue blue."), (2, "deep red green tea"), (3, "green tea " + "word " * 98), (4, "nothing"), (5, None), (None, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    shares = subject_areas.weighted_subjects(subject_areas.document_matches(df, path=terms), path=terms)
+    got = {(r.doc_id, r.subject): r.score for r in shares.collect()}
+    rare = lambda n: math.log(1 + 6 / n)
+    want = {(1, "a"): (rare(1) + 2 * 0.5 * rare(1)) * 100 / 3, (1, "b"): 2 * rare(1) * 100 / 3, (2, "a"): rare(1) * 25, (2, "b"): rare(2) * 25, (3, "b"): rare(2)}
+    assert got == pytest.approx(want)
+
+
+def test_found_subjects_are_a_third_of_the_sentences(spark, tmp_path):
+    texts = [(1, "asthma. hypertension. hypertension. hypertension."), (2, "asthma. hypertension. hypertension."), (3, "asthma."), (4, None), (None, "asthma")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, labels in (("some", [(3, "respiratory"), (2, None), (None, "respiratory")]), ("none", [])):
+        where = tmp_path / name
+        where.mkdir()
+        (where / "documents.parquet").symlink_to(tmp_path / "documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, subject string").write.parquet(f"{where}/subject_labels.parquet")
+        found = [(1, "cardiovascular"), (2, "cardiovascular"), (2, "respiratory"), (3, "respiratory")]
+        assert rows(subject_areas.p9_found(spark, str(where))) == found
+        assert {(r.subject, r.documents) for r in subject_areas.p9_composition(spark, str(where)).collect()} == {("cardiovascular", 2), ("respiratory", 3), ("(none)", 1)}
