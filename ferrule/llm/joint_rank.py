@@ -6,41 +6,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.tables import table
+from ferrule.tables import table, written
 
 HEAVY_ROWS, SLICES = 1_000_000, 64
+#: No more lists than this are cut into slices; so many quantiles a slice reach the driver at most.
+HEAVY_LISTS = 10_000
 
 
 def ranks_in_lists(scores: DataFrame, by: list[str], score: str = "score", heavy_rows: int = HEAVY_ROWS, slices: int = SLICES) -> DataFrame:
     """``scores`` with list_rank: 1 + the number of rows of the same list with a larger score (equal scores share it).
 
-    A list with more than ``heavy_rows`` rows is cut at its own approximate score quantiles into ``slices`` ranges that
-    different tasks rank; a range starts after the number of rows in the ranges above it. The quantiles are the only
-    thing that reaches the driver: ``slices`` numbers for each of at most rows / heavy_rows lists.
+    A list with more than ``heavy_rows`` rows, and more than one in ``HEAVY_LISTS`` of all rows, is cut at its own approximate score quantiles into ``slices`` ranges that
+    different tasks rank; a range starts after the number of rows in the ranges above it. Within a range equal scores are counted before the shuffle and ranked as one, so
+    a list of one score is no hot spot. ``scores`` is read three times: give a written table. The quantiles are the only thing that reaches the driver.
     """
-    key = F.struct(*by)
-    heavy = (
-        scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_rows).select(*by)
-    )
+    sizes = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    total = scores.agg((F.count(F.lit(1)) / HEAVY_LISTS).alias("share"))
+    heavy = sizes.crossJoin(F.broadcast(total)).where((F.col("n") > heavy_rows) & (F.col("n") > F.col("share"))).select(*by)  # one row
     cuts = (
         scores.join(heavy, by, "left_semi").groupBy(*by)
         .agg(F.percentile_approx(score, [i / slices for i in range(1, slices)], 1000).alias("cuts")).collect()
     )
+    ranked = Window.partitionBy(*by).orderBy(F.col(score).desc())
     if not cuts:
-        ranked = Window.partitionBy(*by).orderBy(F.col(score).desc())
         return scores.withColumn("list_rank", F.rank().over(ranked).cast("long"))
-    fixed = scores.sparkSession.createDataFrame(cuts, scores.select(*by).schema.add("cuts", T.ArrayType(T.DoubleType())))
-    sliced = scores.join(F.broadcast(fixed), by, "left").withColumn(
-        "slice", F.when(F.col("cuts").isNull(), 0).otherwise(-F.size(F.filter("cuts", lambda c: c <= F.col(score))))
-    ).drop("cuts")
-    local = Window.partitionBy(*by, "slice").orderBy(F.col(score).desc())
-    sizes = sliced.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return (
-        sliced.withColumn("list_rank", F.rank().over(local).cast("long"))
-        .join(starts, [*by, "slice"]).withColumn("list_rank", F.col("list_rank") + F.col("start")).drop("slice", "start")
-    )
+    fixed = F.broadcast(scores.sparkSession.createDataFrame(cuts, scores.select(*by).schema.add("cuts", T.ArrayType(T.DoubleType()))))
+    light = scores.join(fixed.select(*by), by, "left_anti").withColumn("list_rank", F.rank().over(ranked).cast("long"))
+    sliced = scores.join(fixed, by).withColumn("slice", -F.size(F.filter("cuts", lambda c: c <= F.col(score)))).drop("cuts")
+    values = sliced.groupBy(*by, "slice", score).agg(F.count(F.lit(1)).alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = values.groupBy(*by, "slice").agg(F.sum("n").alias("n")).withColumn("start", before(Window.partitionBy(*by).orderBy("slice"))).drop("n")
+    local = values.withColumn("above", before(Window.partitionBy(*by, "slice").orderBy(F.col(score).desc()))).drop("n")
+    places = local.join(starts, [*by, "slice"]).withColumn("list_rank", (F.col("above") + F.col("start") + 1).cast("long")).drop("above", "start")
+    return light.unionByName(sliced.join(places, [*by, "slice", score]).select(*light.columns))
 
 
 def weighted_median(pairs: Column) -> Column:
@@ -67,7 +65,7 @@ def joint_order(scores: DataFrame, group: str, item: str, source: str, sources:
     known = scores.select(group, item, source, F.col("score").cast("double").alias("score")).where(
         F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(source).isin(sources) & F.col("score").isNotNull() & ~F.isnan("score")
     )
-    ranked = ranks_in_lists(known, [group, source], heavy_rows=heavy_rows)
+    ranked = ranks_in_lists(written(known), [group, source], heavy_rows=heavy_rows)
     held = ranked.groupBy(group, item).agg(*[F.max(F.when(F.col(source) == s, F.col("list_rank"))).alias(f"r{i}") for i, s in enumerate(sources)])
     members = held.groupBy(group).agg(F.count(F.lit(1)).alias("members"))
     full = held.join(members, group)
