@@ -18,7 +18,7 @@ BOUNDARY = re.compile(r"(?<=[.!?])\s+|[\r\n]+|</?(?:p|br|li|div|h[1-6])\b[^>]*>"
 TAG = re.compile(r"<[^<>]{1,80}>")
 WORD = re.compile(r"[^\W_]+")
 THRESHOLDS = [i / 20 for i in range(1, 17)]
-_TERMS = "terms array<struct<term:string,tf:int>>"
+_TERMS = "terms array<struct<term:string,tf:int,at:int>>"
 _SCHEMA = f"words int, sentences int, dealing int, subjects array<struct<subject:string,share_sentences:int,{_TERMS.replace(' ', ':')}>>"
 
 
@@ -52,12 +52,14 @@ def _matches(batches, key: str, terms: list[tuple[str, str, float]]):
 
     automaton = ahocorasick.Automaton()
     by_term: dict[str, list[str]] = {}
-    for subject, term, _ in terms:
+    number: dict[tuple[str, str], int] = {}
+    for i, (subject, term, _) in enumerate(terms):
         by_term.setdefault(term, []).append(subject)
+        number[subject, term] = i
     for term in by_term:
         automaton.add_word(f" {term} ", term)
     automaton.make_automaton()
-    kind = pa.list_(pa.struct([("subject", pa.string()), ("share_sentences", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))]))
+    kind = pa.list_(pa.struct([("subject", pa.string()), ("share_sentences", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32()), ("at", pa.int32())])))]))
     for batch in batches:
         columns: list[list] = [[], [], [], []]
         for text in batch["__text"].to_pylist():
@@ -78,7 +80,7 @@ def _matches(batches, key: str, terms: list[tuple[str, str, float]]):
                 dealing += bool(here)
                 for subject in here:
                     sentences[subject] = sentences.get(subject, 0) + 1
-            found = [{"subject": s, "share_sentences": n, "terms": [{"term": t, "tf": k} for t, k in counts[s].items()]} for s, n in sentences.items()]
+            found = [{"subject": s, "share_sentences": n, "terms": [{"term": t, "tf": k, "at": number[s, t]} for t, k in counts[s].items()]} for s, n in sentences.items()]
             for column, value in zip(columns, (n_words, n_sentences, dealing, found)):
                 column.append(value)
         arrays = [pa.array(v, k) for v, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), kind))]
@@ -86,7 +88,8 @@ def _matches(batches, key: str, terms: list[tuple[str, str, float]]):
 
 
 def document_matches(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | Path = VOCABULARY) -> DataFrame:
-    """(key, words, sentences, dealing, subjects): one row per document; ``subjects`` has (subject, share_sentences, terms (term, tf)).
+    """(key, words, sentences, dealing, subjects): one row per document; ``subjects`` has (subject, share_sentences, terms (term, tf, at)), ``at`` the number of the
+    subject's term in the vocabulary.
 
     ``dealing`` counts the sentences or lines with any subject, ``share_sentences`` those with this one. Texts without a
     subject, null and empty ones included, have an empty array.
@@ -111,12 +114,12 @@ def weighted_subjects(matches: DataFrame, key: str = "doc_id", path: str | Path
     """
     seen = matches.select(F.explode(F.array_distinct(F.flatten(F.transform("subjects", lambda s: F.transform(s["terms"], lambda t: t["term"]))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = matches.agg(F.count(F.lit(1)).alias("n"))
-    known = matches.sparkSession.createDataFrame(vocabulary(path), "subject string, term string, weight double")
-    value = F.round(F.col("weight") * F.log(1 + F.col("n") / F.col("df")), 9)
-    rare = seen.join(F.broadcast(known), "term").crossJoin(F.broadcast(total)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\t", "subject", "term"), value))).alias("values"))
+    known = matches.sparkSession.createDataFrame([(i, t, w) for i, (_, t, w) in enumerate(vocabulary(path))], "at int, term string, weight double")
+    value = F.coalesce(F.round(F.col("weight") * F.log(1 + F.col("n") / F.col("df")), 9), F.lit(0.0)).alias("value")
+    rare = known.join(seen, "term", "left").crossJoin(F.broadcast(total)).agg(F.array_sort(F.collect_list(F.struct("at", value))).alias("pairs")).select(F.transform("pairs", lambda p: p["value"]).alias("values"))
     sums = F.transform("subjects", lambda s: F.struct(
         s["subject"].alias("subject"), s["share_sentences"].alias("share_sentences"),
-        F.aggregate(s["terms"], F.lit(0.0), lambda a, t: a + t["tf"] * F.col("values")[F.concat_ws("\t", s["subject"], t["term"])]).alias("sum"),
+        F.aggregate(s["terms"], F.lit(0.0), lambda a, t: a + t["tf"] * F.get("values", t["at"])).alias("sum"),
     ))
     scored = matches.where(F.size("subjects") > 0).crossJoin(F.broadcast(rare)).select(key, "words", "sentences", "dealing", sums.alias("sums"))  # one row of as many entries as the vocabulary
     every = scored.withColumn("all", F.aggregate("sums", F.lit(0.0), lambda a, s: a + s["sum"])).select("*", F.explode("sums").alias("s"))
