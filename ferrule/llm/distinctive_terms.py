@@ -30,7 +30,7 @@ def _weighed(records: DataFrame, key: str, terms: str) -> DataFrame:
     counted = spark.sql(
         f"""SELECT `{key}` AS key, term, count(*) AS tf FROM (SELECT `{key}`, explode(`{terms}`) AS term FROM {{records}}) GROUP BY `{key}`, term""", records=records
     )
-    spread = spark.sql("SELECT term, count(*) AS records, sum(tf) AS gf, sum(tf * log2(tf)) AS tlogt FROM {counted} GROUP BY term", counted=counted)
+    spread = spark.sql("SELECT term, count(*) AS records, sum(tf) AS gf, sum(CASE WHEN tf > 1 THEN tf * log2(tf) ELSE 0 END) AS tlogt FROM {counted} GROUP BY term", counted=counted)
     total = records.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("n"))
     return spark.sql(
         f"""SELECT c.key AS `{key}`, term, c.tf, s.records, t.n AS collection,
