@@ -80,18 +80,19 @@ def concept_score_distribution(s, d):
 
 
 def _rewritten(name):
+    """(hash, query): every clause after one rewrite, as printed; null where nothing is left of it."""
+
     def run(s, d):
-        from ferrule.plans.ast import from_json, to_json
+        from ferrule.plans.ast import from_json
 
         fn = REWRITES[name]
 
         def go(batches):
             for pdf in batches:
-                out = [None if q is None or (new := fn(from_json(q))) is None else to_json(new) for q in pdf["query"]]
+                out = [None if q is None or (new := fn(from_json(q))) is None else str(new) for q in pdf["query"]]
                 yield pdf[["hash"]].assign(query=out)
 
-        parsed = parse_column(clauses(s, d), "hash", "query").select("hash", "query").mapInPandas(go, "hash long, query string")
-        return st.counts(st.nodes(parsed, "hash", "query"), "hash").select("hash", "keywords", "and_clauses", "or_clauses", "not_clauses", "mesh_keywords", "mesh_exploded")
+        return parse_column(clauses(s, d), "hash", "query").select("hash", "query").mapInPandas(go, "hash long, query string")
 
     return run
 
@@ -136,6 +137,50 @@ _TITLE = f"({_n(r'[[]title[]]')} + {_BOTH})"
 _ABS = _BOTH
 _MF = f"({_MESH} + {_n(r'[.]mp[.]')})"
 _ALLF = f"{_n(r'[[]all fields[]]')}"
+def _printed() -> str:
+    """k: the clauses as printed, each keyword's text between the marks chr(1) and chr(2). The clauses are in brackets throughout, so that their printed form is a matter of replacement."""
+    fields = [("(title/abstract|tiab)", "[title,abstract]"), ("title", "[title]"), ("all fields", "[all_fields]"), ("mesh terms", "+[mesh_headings]")]
+    ends = [("(tw|ti,ab)", "[title,abstract]"), ("mp", "[title,abstract,mesh_headings]")]
+    marked = r"""regexp_replace(query, 'exp ([^/]+)/', chr(1) || '\1' || chr(2) || '+[mesh_headings]', 'g')"""
+    for mark, names in ((r"\[{}\]", fields), (r"\.{}\.", ends)):
+        for name, out in names:
+            end = mark.format(name)
+            marked = rf"""regexp_replace({marked}, '(?i)"([^"]+)"(\*?){end}', chr(1) || '\1' || chr(2) || '{"+" * out.startswith("+")}\2{out.lstrip("+")}', 'g')"""
+            marked = rf"""regexp_replace({marked}, '(?i)([^\s()"\[\].*\x01\x02][^\s()"\[\].\x01\x02]*){end}', chr(1) || '\1' || chr(2) || '{out}', 'g')"""
+    for op in ("and", "or", "not"):
+        marked = f"regexp_replace({marked}, '(?i) {op} ', ' {op} ', 'g')"
+    marked = rf"regexp_replace({marked}, '(?i) adj(\d*) ', ' adj\1 ', 'g')"
+    return f"{_C}, k AS (SELECT hash, {marked} AS q FROM c)"
+
+
+def _repeated(text: str, times: int, *steps: tuple[str, str]) -> str:
+    for _ in range(times):
+        for pattern, by in steps:
+            text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
+def _rewrite_sql() -> dict[str, str]:
+    """The texts of the rewritten clauses. Filters are printed in full here, apart from the code that builds them."""
+    rct = "(Randomized Controlled Trials As Topic+[mesh_headings] or Randomized Controlled Trial[publication_type] or Controlled Clinical Trial[publication_type] or randomized[text_word] or placebo[text_word] or randomly[text_word] or trial[title])"
+    trials = "randomized controlled trial[publication_type] or controlled clinical trial[publication_type] or randomized[title,abstract] or placebo[title,abstract]"
+    sensitive = f"(({trials} or drug therapy[mesh_floating] or randomly[title,abstract] or trial[title,abstract] or groups[title,abstract]) not (animals[mesh_headings] not humans[mesh_headings]))"
+    precise = f"(({trials} or clinical trials as topic[mesh_headings] or randomly[title,abstract] or trial[title]) not (animals[mesh_headings] not humans[mesh_headings]))"
+    ops = r" (and|or|not|adj\d*) "
+    word = r"\x01[^\x02]*\x02[^ ()]*"
+    gone = r"""regexp_replace(q, '\x01[^\x02]*\x02[+]?[*]?\[mesh_headings\]', chr(3), 'g')"""
+    merged = _repeated("q", 4, *((rf" {op} ({word})\) {op} ", rf"' {op} \1 {op} '") for op in ("and", "or")))
+    flat = f"substr({merged}, 1 + length(q) - length({merged}))"  # groups nest to the left: for every inner bracket that goes, one of those at the front goes
+    parts = r"""array_to_string(list_transform(string_split(q, chr(1)), lambda x: CASE WHEN contains(x, chr(2)) AND contains(split_part(x, chr(2), 1), ' ') AND NOT starts_with(ltrim(split_part(x, chr(2), 2), '+*'), '[mesh')
+  THEN '(' || array_to_string(list_transform(string_split(split_part(x, chr(2), 1), ' '), lambda w: w || regexp_extract(ltrim(split_part(x, chr(2), 2), '*'), '^[^ ()]*')), ' or ') || ')' || regexp_replace(split_part(x, chr(2), 2), '^[^ ()]*', '') ELSE x END), '')"""
+    texts = {
+        "all_and": f"regexp_replace(q, '{ops}', ' and ', 'g')", "all_or": f"regexp_replace(q, '{ops}', ' or ', 'g')", "simplify_operators": r"regexp_replace(q, ' (or|not|adj\d*) ', ' or ', 'g')", "no_explosion": "replace(q, chr(2) || '+', chr(2))",
+        "rct_filter": f"CASE WHEN starts_with(q, '(') THEN '(' || q || ' and {rct})' ELSE q END", "sensitivity_filter": f"'(' || q || ' and {sensitive})'", "precision_sensitivity_filter": f"'(' || q || ' and {precise})'",
+        "remove_mesh": f"nullif({_repeated(gone, 5, (rf'\x03{ops}', repr('')), (rf'{ops}\x03', repr('')), (r'\(\x03\)', 'chr(3)'))}, chr(3))", "flatten": flat, "relax_phrases": parts,
+    }
+    return {f"rewrite_{n}": f"WITH {_printed()} SELECT hash, translate({text}, chr(1) || chr(2), '') AS query FROM k" for n, text in texts.items()}
+
+
 ORACLES = {
     "structure_counts": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, {_OPS} AS boolean_nodes, {_AND} + {_ADJ} AS and_clauses, {_OR} AS or_clauses, {_NOT} AS not_clauses, {_ADJ} AS adj_clauses, {_n('[*]')} AS truncated, {_WORDS} AS terms, {_MESH} AS mesh_exploded FROM c",
     "structure_counts_compat": f"WITH {_C} SELECT hash, 2 * {_OPS} - 1 AS boolean_nodes FROM c",
@@ -145,10 +190,4 @@ ORACLES = {
     "mesh_explosion_ratio": f"WITH {_C} SELECT hash, round(CASE WHEN {_MF} > 0 THEN {_MESH} / {_MF} ELSE 0 END, 6) AS ratio FROM c",
     "clause_variations": f"""WITH {_C}, v AS (SELECT hash, 0 AS transformation_id, {_AND} + {_OR} AS n FROM c UNION ALL SELECT hash, 1, 2 * {_ADJ} FROM c UNION ALL SELECT hash, 2, {_MESH} FROM c
 UNION ALL SELECT hash, 3, 2 * {_TITLE} FROM c UNION ALL SELECT hash, 4, {_ADJ} FROM c UNION ALL SELECT hash, 5, 2 * {_OPS} - {_TWINS} FROM c) SELECT * FROM v WHERE n > 0""",
-    "rewrite_all_and": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, {_OPS} AS and_clauses, 0 AS or_clauses, 0 AS not_clauses, {_MF} AS mesh_keywords, {_MESH} AS mesh_exploded FROM c",
-    "rewrite_all_or": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, 0 AS and_clauses, {_OPS} AS or_clauses, 0 AS not_clauses, {_MF} AS mesh_keywords, {_MESH} AS mesh_exploded FROM c",
-    "rewrite_simplify_operators": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, {_AND} AS and_clauses, {_OR} + {_NOT} + {_ADJ} AS or_clauses, 0 AS not_clauses, {_MF} AS mesh_keywords, {_MESH} AS mesh_exploded FROM c",
-    "rewrite_no_explosion": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, {_AND} + {_ADJ} AS and_clauses, {_OR} AS or_clauses, {_NOT} AS not_clauses, {_MF} AS mesh_keywords, 0 AS mesh_exploded FROM c",
-    "rewrite_rct_filter": f"""WITH {_C} SELECT hash, 1 + {_OPS} + CASE WHEN {_OPS} > 0 THEN 7 ELSE 0 END AS keywords, {_AND} + {_ADJ} + CASE WHEN {_OPS} > 0 THEN 1 ELSE 0 END AS and_clauses, {_OR} + CASE WHEN {_OPS} > 0 THEN 1 ELSE 0 END AS or_clauses,
-{_NOT} AS not_clauses, {_MF} + CASE WHEN {_OPS} > 0 THEN 1 ELSE 0 END AS mesh_keywords, {_MESH} + CASE WHEN {_OPS} > 0 THEN 1 ELSE 0 END AS mesh_exploded FROM c""",
-}
+} | _rewrite_sql()

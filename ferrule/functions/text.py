@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: A term of the index: a maximal run of letters and digits of the lower-cased text.
 TERM = r"[\p{L}\p{N}]+"
-#: Suffixes that a truncated keyword may stand for.
-NOUN_SUFFIXES = "acy al ance ence dom er or ism ist ity ty ment ness ship sion tion".split()
-VERB_SUFFIXES = "ate en ify fy ize ise ing ed".split()
-ADJECTIVE_SUFFIXES = "able ible al esque ful ic ical ious ous ish ive less y".split()
+#: Suffixes that a truncated keyword may stand for, of nouns, verbs and adjectives.
+NOUN_SUFFIXES = "acy al ance ence dom er or ism ist ity ty ment ness ship st ty sion tion ion".split()
+VERB_SUFFIXES = "ate en ify fy ise ize se ze s i oma osis otic um tic cy es".split()
+ADJECTIVE_SUFFIXES = "able ible al ographic ful ic ical ious ous us ish sh ive ve e less y".split()
 #: Words that end a candidate keyphrase.
 STOPWORDS = (
     "a about after against all also an and any are as at be been before between both but by can could did do does during each for from had has have how if in into is it its "

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import replace
 
 from ferrule.functions.text import porter_stem
-from ferrule.plans.ast import ABSTRACT, ALL, DATE, MESH, MESH_FIELDS, PUBLICATION_TYPE, TITLE, Boolean, Keyword, Node, keywords, rewrite
+from ferrule.plans.ast import ABSTRACT, ALL, DATE, MESH, MESH_FIELDS, MESH_FLOATING, PUBLICATION_TYPE, TEXT, TITLE, Boolean, Keyword, Node, keywords, rewrite
 
 
 def process(node: Node, fn: Callable[[str], str]) -> Node:
@@ -45,28 +45,41 @@ def no_explosion(node: Node) -> Node:
     return rewrite(node, lambda k: replace(k, exploded=False))
 
 
-def _rct(*terms: tuple[str, tuple[str, ...]]) -> Boolean:
-    return Boolean("or", tuple(Keyword(t, f, exploded=True if f == (MESH,) else None) for t, f in terms))
+def _any(*terms: tuple[str, tuple[str, ...]] | tuple[str, tuple[str, ...], bool]) -> Boolean:
+    return Boolean("or", tuple(Keyword(*t) for t in terms))
 
 
-_TIAB = (TITLE, ABSTRACT)
-#: The public filter for randomised trials, in its sensitive and its sensitive-and-precise form, and its complement.
-SENSITIVE = _rct(("randomized controlled trial", (PUBLICATION_TYPE,)), ("controlled clinical trial", (PUBLICATION_TYPE,)), ("randomized", _TIAB), ("placebo", _TIAB), ("drug therapy", (MESH,)), ("randomly", _TIAB), ("trial", _TIAB), ("groups", _TIAB))
-PRECISE = _rct(("randomized controlled trial", (PUBLICATION_TYPE,)), ("controlled clinical trial", (PUBLICATION_TYPE,)), ("randomized", _TIAB), ("placebo", _TIAB), ("clinical trials as topic", (MESH,)), ("randomly", _TIAB), ("trial", (TITLE,)))
-NOT_ANIMALS = Boolean("not", (Keyword("animals", (MESH,), True), Keyword("humans", (MESH,), True)))
+_TIAB, _PT = (TITLE, ABSTRACT), (PUBLICATION_TYPE,)
+#: The clauses that restrict a query to randomised trials.
+RCT = _any(
+    ("Randomized Controlled Trials As Topic", (MESH,), True), ("Randomized Controlled Trial", _PT), ("Controlled Clinical Trial", _PT),
+    ("randomized", (TEXT,)), ("placebo", (TEXT,)), ("randomly", (TEXT,)), ("trial", (TITLE,)),
+)
+#: The public search filter for trials, sensitivity-maximising.
+SENSITIVE = _any(
+    ("randomized controlled trial", _PT), ("controlled clinical trial", _PT), ("randomized", _TIAB), ("placebo", _TIAB),
+    ("drug therapy", (MESH_FLOATING,)), ("randomly", _TIAB), ("trial", _TIAB), ("groups", _TIAB),
+)
+#: The same filter, sensitivity- and precision-maximising.
+PRECISE = _any(
+    ("randomized controlled trial", _PT), ("controlled clinical trial", _PT), ("randomized", _TIAB), ("placebo", _TIAB),
+    ("clinical trials as topic", (MESH,), False), ("randomly", _TIAB), ("trial", (TITLE,)),
+)
+#: The records that both filters leave out.
+ONLY_ANIMALS = Boolean("not", (Keyword("animals", (MESH,)), Keyword("humans", (MESH,))))
 
 
 def rct_filter(node: Node) -> Node:
     """A Boolean query restricted to randomised trials; a keyword is returned as it is."""
-    return Boolean("and", (node, PRECISE)) if isinstance(node, Boolean) else node
+    return Boolean("and", (node, RCT)) if isinstance(node, Boolean) else node
 
 
 def sensitivity_filter(node: Node) -> Node:
-    return Boolean("and", (node, Boolean("not", (SENSITIVE, NOT_ANIMALS))))
+    return Boolean("and", (node, Boolean("not", (SENSITIVE, ONLY_ANIMALS))))
 
 
 def precision_sensitivity_filter(node: Node) -> Node:
-    return Boolean("and", (node, Boolean("not", (PRECISE, NOT_ANIMALS))))
+    return Boolean("and", (node, Boolean("not", (PRECISE, ONLY_ANIMALS))))
 
 
 def date_restriction(node: Node, topic: str, restrictions: Mapping[str, tuple[str, str]]) -> Node:
