@@ -81,12 +81,17 @@ def eval_summary(s, d):
     return _r(ev.summary(ev.evaluate(run, qrels, {n: known[n] for n in names})), "mean")
 
 
+def eval_all_measures(s, d):
+    """(topic, run_name, name, value): every measure of the registry, the residual and maximum-likelihood ones included."""
+    return _r(ev.evaluate(*_data(s, d), ev.registry(SIZE)), "value")
+
+
 def eval_wide(s, d):
-    """The measures of one run as a row per topic, as the evaluation writer lays them out."""
+    """The measures of every run and topic as a row, as the evaluation writer lays them out."""
     run, qrels = _data(s, d)
     known = ev.registry(SIZE)
-    long = ev.evaluate(run.where("run_name = 'bm25_ti'"), qrels, {n: known[n] for n in ("precision", "recall")})
-    return _r(writers.wide(long, "topic", "name", "value", ["precision", "recall"]), "precision", "recall")
+    long = ev.evaluate(run, qrels, {n: known[n] for n in ("precision", "recall")}).withColumn("list", F.concat_ws("/", F.coalesce("run_name", F.lit("-")), "topic"))
+    return _r(writers.wide(long, "list", "name", "value", ["precision", "recall"]), "precision", "recall")
 
 
 def dedup_title(s, d):
@@ -95,7 +100,7 @@ def dedup_title(s, d):
     return ev.deduplicate_titles(run, docs).select("topic", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (eval_ranked, eval_counts, eval_precision_recall, eval_precision_compat, eval_f_measures, eval_at_k, eval_ap, eval_dcg_ndcg, eval_wss_nnr, eval_residual, eval_mle, eval_summary, eval_wide, dedup_title)}
+QUERIES = {f.__name__: f for f in (eval_ranked, eval_counts, eval_precision_recall, eval_precision_compat, eval_f_measures, eval_at_k, eval_ap, eval_dcg_ndcg, eval_wss_nnr, eval_residual, eval_mle, eval_summary, eval_all_measures, eval_wide, dedup_title)}
 _J = f"{RUN}, {QRELS}, j AS (SELECT r.*, q.grade FROM r LEFT JOIN q USING (topic, doc_id))"
 
 
@@ -124,6 +129,31 @@ _ND = f"""g AS (SELECT topic, run_name, {_dcg(10)} AS d10, {_dcg(100)} AS d100,
 _SHARED = """SELECT topic, run_name, num_ret, num_rel_ret, num_rel, round(num_rel_ret / num_ret, 6) AS precision, round(CASE WHEN num_rel > 0 THEN num_rel_ret / num_rel ELSE 0 END, 6) AS recall FROM x"""
 _TOPIC = "t AS (SELECT topic, count(*) FILTER (grade > 0) AS rel, count(*) FILTER (grade <= 0) AS nonrel FROM q GROUP BY topic)"
 _PER = "u AS (SELECT topic, run_name, count(*) AS num_ret, count(*) FILTER (grade > 0) AS hit, count(*) FILTER (grade IS NULL) AS un FROM j GROUP BY ALL)"
+
+
+def _every_measure() -> str:
+    """All measures in SQL: per variant the judged run with its own grades, and the ideal order of the topic's and the added documents."""
+    parts, rows = [], ["SELECT topic, run_name, 'num_ret' AS name, num_ret AS value FROM s0", "SELECT topic, run_name, 'num_rel', num_rel FROM s0", "SELECT topic, run_name, 'num_rel_ret', rr FROM s0"]
+    for i, (v, taken) in enumerate((("", "false"), ("_res", "un"), ("_mle", "un AND uns <= likely"))):
+        h, r = " , ".join(f"count(*) FILTER (rel AND rn <= {k}) AS h{k}" for k in (10, 100, 1000)), (5, 10, 100, 200, 500)
+        parts.append(f"""v{i} AS (SELECT *, row_number() OVER (PARTITION BY topic, run_name, rel ORDER BY rn) AS k FROM (SELECT topic, run_name, rn, un, CASE WHEN {taken} THEN 1 ELSE coalesce(grade, 0) END AS g,
+  coalesce(grade > 0, false) OR ({taken}) AS rel, ({taken}) AS added FROM f)),
+i{i} AS (SELECT topic, run_name, {', '.join(f'sum(CASE WHEN x <= {k} THEN grade / log2(x + 1) ELSE 0 END) AS i{k}' for k in r)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic, run_name ORDER BY grade DESC) AS x FROM (
+    SELECT l.topic, l.run_name, grade FROM lists l JOIN q USING (topic) UNION ALL SELECT topic, run_name, 1 FROM v{i} WHERE added)) GROUP BY ALL),
+s{i} AS (SELECT a.*, coalesce(nr, 0) + ad AS num_rel, {', '.join(f'i{k}' for k in r)} FROM (SELECT topic, run_name, count(*) AS num_ret, count(*) FILTER (rel) AS rr, count(*) FILTER (added) AS ad, coalesce(sum(k / rn) FILTER (rel), 0) AS ps, {h},
+  {', '.join(f'sum(CASE WHEN rn <= {k} THEN g / log2(rn + 1) ELSE 0 END) AS d{k}' for k in r)} FROM v{i} GROUP BY ALL) a LEFT JOIN (SELECT topic, count(*) FILTER (grade > 0) AS nr FROM q GROUP BY topic) USING (topic) LEFT JOIN i{i} USING (topic, run_name)),
+r{i} AS (SELECT *, rr / num_ret AS p, CASE WHEN num_rel > 0 THEN rr / num_rel ELSE 0 END AS rc FROM s{i})""")
+        named = {"precision": "p", "recall": "rc", "wss": f"({SIZE} - num_ret) / {SIZE} - (1 - rc)", "nnr": "(num_ret + 1) / (rr + 1)", "ap": "CASE WHEN num_rel > 0 THEN ps / num_rel ELSE 0 END"}
+        named |= {f"f{b:g}": f"CASE WHEN p > 0 AND rc > 0 THEN {1 + b * b} * p * rc / ({b * b} * p + rc) ELSE 0 END" for b in (0.5, 1.0, 3.0)}
+        named |= {f"p@{k}": f"h{k} / {k}" for k in (10, 100, 1000)} | {f"recall@{k}": f"CASE WHEN num_rel > 0 THEN h{k} / num_rel ELSE 0 END" for k in (10, 100, 1000)}
+        named |= {f"ndcg@{k}": f"CASE WHEN i{k} > 0 THEN d{k} / i{k} ELSE 0 END" for k in r}
+        rows += [f"SELECT topic, run_name, '{name}{v}', {value} FROM r{i}" for name, value in named.items()]
+    return f"""WITH {_J}, t AS (SELECT topic, floor((count(*) FILTER (grade > 0) + 1) / (count(*) FILTER (grade <= 0) + 1)) AS likely FROM q GROUP BY topic), lists AS (SELECT DISTINCT topic, run_name FROM r),
+f AS (SELECT *, sum(un::INT) OVER (PARTITION BY topic, run_name ORDER BY rn) AS uns FROM (SELECT topic, run_name, rn, grade, grade IS NULL AS un, coalesce(likely, 1) AS likely FROM j LEFT JOIN t USING (topic))),
+{', '.join(parts)} SELECT topic, run_name, name, round(value, 6) AS value FROM ({' UNION ALL '.join(rows)})"""
+
+
 ORACLES = {
     "eval_ranked": f"WITH {RUN} SELECT * FROM r",
     "eval_counts": f"WITH {_J}, {_counts()} SELECT * FROM c",
@@ -144,6 +174,7 @@ UNION ALL SELECT topic, run_name, 'f1', CASE WHEN p > 0 AND rc > 0 THEN 2 * p *
 UNION ALL SELECT topic, run_name, 'p@10', count(*) FILTER (rn <= 10 AND grade > 0) / 10 FROM j GROUP BY ALL
 UNION ALL SELECT topic, run_name, 'ndcg@10', CASE WHEN i10 > 0 THEN d10 / i10 ELSE 0 END FROM g LEFT JOIN ideal USING (topic)
 UNION ALL SELECT topic, run_name, 'ap', ap FROM ap) SELECT run_name, name, round(avg(value), 6) AS mean, count(DISTINCT topic) AS topics FROM v GROUP BY ALL""",
-    "eval_wide": f"WITH {_J}, {_counts()}, {_PR} SELECT topic, round(p, 6) AS precision, round(rc, 6) AS recall FROM pr WHERE run_name = 'bm25_ti'",
+    "eval_wide": f"WITH {_J}, {_counts()}, {_PR} SELECT concat_ws('/', coalesce(run_name, '-'), topic) AS list, round(p, 6) AS precision, round(rc, 6) AS recall FROM pr",
+    "eval_all_measures": _every_measure(),
     "dedup_title": f"""WITH {CUR} SELECT 'all' AS topic, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(ti)) ORDER BY doc_id) AS k FROM cur) WHERE k = 1 OR ti IS NULL OR trim(ti) = ''""",
 }

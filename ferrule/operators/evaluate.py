@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,14 +45,14 @@ def precision_recall(c: DataFrame, compat: bool = False) -> DataFrame:
     return c.withColumn("precision", precision).withColumn("recall", ratio(F.col("num_rel_ret"), F.col("num_rel")))
 
 
-def f_measure(beta: float) -> Column:
-    p, r, b = F.col("precision"), F.col("recall"), beta * beta
+def f_measure(beta: float, precision: Column | None = None, recall: Column | None = None) -> Column:
+    p, r, b = F.col("precision") if precision is None else precision, F.col("recall") if recall is None else recall, beta * beta
     return F.when((p > 0) & (r > 0), (1 + b) * p * r / (b * p + r)).otherwise(0.0)
 
 
-def wss(collection_size: int | Column) -> Column:
+def wss(collection_size: int | Column, recall: Column | None = None) -> Column:
     n = F.lit(collection_size) if isinstance(collection_size, int) else collection_size
-    return F.when(n > 0, (n - F.col("num_ret")) / n).otherwise(0.0) - (1 - F.col("recall"))
+    return F.when(n > 0, (n - F.col("num_ret")) / n).otherwise(0.0) - (1 - (F.col("recall") if recall is None else recall))
 
 
 def nnr() -> Column:
@@ -106,47 +107,102 @@ def mle_counts(run: DataFrame, qrels: DataFrame, grade: int = 0) -> DataFrame:
 
 
 def deduplicate_titles(run: DataFrame, docs: DataFrame, title: str = "ti") -> DataFrame:
-    """The run without documents whose title an earlier document of the same topic and run has; documents without a title stay."""
-    held = run.join(docs.select("doc_id", F.col(title).alias("_t")), "doc_id", "left")
-    first = F.row_number().over(Window.partitionBy(*KEYS, F.lower(F.trim("_t"))).orderBy("rn"))
-    return held.withColumn("_k", first).where("_k = 1 OR _t IS NULL OR trim(_t) = ''").drop("_t", "_k")
+    """The run without documents whose title an earlier document of the same topic and run has; documents without a title stay.
 
+    The first of each title is found by an aggregation, combined before the shuffle; documents without a title take no part in it.
+    """
+    held = run.join(docs.select("doc_id", F.lower(F.trim(title)).alias("_t")), "doc_id", "left")
+    named = F.coalesce(F.col("_t"), F.lit("")) != ""
+    first = held.where(named).groupBy(*KEYS, "_t").agg(F.min(F.struct("rn", *[c for c in run.columns if c not in (*KEYS, "rn")])).alias("_r"))
+    kept = first.select(*[c if c in KEYS else F.col(f"_r.{c}").alias(c) for c in run.columns])
+    return kept.unionByName(held.where(~named).select(*run.columns))
 
-Evaluator = Callable[[DataFrame, DataFrame], DataFrame]
 
+#: Which documents count as relevant: the judged ones; with all retrieved that are not judged; with the likely number of these.
+VARIANTS = ("", "_res", "_mle")
 
-def registry(collection_size: int, grade: int = 0) -> dict[str, Evaluator]:
-    """The named measures of the evaluation command: each maps (run, qrels) to (topic, run_name, value)."""
-    out: dict[str, Evaluator] = {}
 
-    def counted(name: str, base, value: Callable[[], Column]):
-        out[name] = lambda run, qrels: precision_recall(base(run, qrels, grade)).select(*KEYS, value().cast("double").alias("value"))
+def judged_once(run: DataFrame, qrels: DataFrame, ks: list[int], gain_ks: list[int], grade: int = 0) -> DataFrame:
+    """One row per (topic, run_name) with the counts that every measure of every variant needs, from one pass over the judged run.
 
-    for suffix, base in (("", counts), ("_res", residual_counts), ("_mle", mle_counts)):
-        counted(f"precision{suffix}", base, lambda: F.col("precision"))
-        counted(f"recall{suffix}", base, lambda: F.col("recall"))
+    The residual variant takes every retrieved document that is not judged as relevant, the maximum-likelihood variant the first
+    floor((relevant + 1) / (not relevant + 1)) of them in run order, both with grade ``grade`` + 1. Per variant v: num_rel_ret v, num_rel v, hits@K v for
+    ``ks``, precisions v (the sum of precision at the relevant documents), dcg@K v for ``gain_ks``; besides num_ret, num_nonrel, the topic's ``grades``
+    (grade, number) and ``added`` v, the documents taken as relevant. K = 0 is the whole list.
+    """
+    counted = qrels.groupBy("topic", "grade").agg(F.count(F.lit(1)).alias("n"))
+    topics = counted.groupBy("topic").agg(
+        F.sum(F.when(F.col("grade") > grade, F.col("n")).otherwise(0)).alias("rel"), F.sum(F.when(F.col("grade") > grade, 0).otherwise(F.col("n"))).alias("nonrel"),
+        F.sort_array(F.collect_list(F.struct("grade", "n")), asc=False).alias("grades"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    known = topics.select("topic", F.floor((F.col("rel") + 1) / (F.col("nonrel") + 1)).alias("likely"))
+    j = judged(run, qrels).join(known, "topic", "left").withColumn("likely", F.coalesce("likely", F.lit(1)))
+    so_far = Window.partitionBy(*KEYS).orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_rel, unjudged = F.coalesce(F.col("grade") > grade, F.lit(False)), F.col("grade").isNull()
+    j = j.withColumns({"rel": is_rel, "un": unjudged}).withColumns({"hits": F.count_if("rel").over(so_far), "uns": F.count_if("un").over(so_far)})
+    rel = {"": F.col("rel"), "_res": F.col("rel") | F.col("un"), "_mle": F.col("rel") | (F.col("un") & (F.col("uns") <= F.col("likely")))}
+    hits = {"": F.col("hits"), "_res": F.col("hits") + F.col("uns"), "_mle": F.col("hits") + F.least("uns", "likely")}
+    within = lambda k: (F.col("rn") <= k) if k else F.lit(True)
+    sums = [F.count(F.lit(1)).alias("num_ret")]
+    for v in VARIANTS:
+        gain = F.when(rel[v] & F.col("un"), grade + 1).otherwise(zero(F.col("grade"))) / F.log2(F.col("rn") + 1)
+        sums += [F.count_if(rel[v]).alias(f"num_rel_ret{v}"), F.count_if(rel[v] & F.col("un")).alias(f"added{v}"), F.sum(F.when(rel[v], hits[v] / F.col("rn")).otherwise(0.0)).alias(f"precisions{v}")]
+        sums += [F.count_if(within(k) & rel[v]).alias(f"hits@{k}{v}") for k in ks] + [F.sum(F.when(within(k), gain).otherwise(0.0)).alias(f"dcg@{k}{v}") for k in gain_ks]
+    out = j.groupBy(*KEYS).agg(*sums).join(topics, "topic", "left").withColumns({"rel": zero(F.col("rel")), "num_nonrel": zero(F.col("nonrel"))})
+    return out.withColumns({f"num_rel{v}": F.col("rel") + F.col(f"added{v}") for v in VARIANTS}).drop("rel", "nonrel")
+
+
+def ideal_gain(grades: Column, added: Column, k: int, grade: int = 0) -> Column:
+    """The DCG at k (0: of all) of the topic's grades in falling order with ``added`` documents of grade ``grade`` + 1 among them."""
+    more = F.sort_array(F.concat(F.coalesce(grades, F.array().cast("array<struct<grade:bigint,n:bigint>>")).cast("array<struct<grade:bigint,n:bigint>>"), F.array(F.struct(F.lit(grade + 1).cast("long").alias("grade"), added.cast("long").alias("n")))), asc=False)
+    total = F.aggregate(more, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    last = F.least(total, F.lit(k)) if k else total
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("sum"))
+
+    def add(a: Column, x: Column) -> Column:
+        places = F.sequence(a["at"] + 1, F.least(a["at"] + x["n"], last))
+        discounts = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+        return F.struct((a["at"] + x["n"]).alias("at"), (a["sum"] + F.when((x["n"] > 0) & (a["at"] < last) & (x["grade"] != 0), x["grade"] * discounts).otherwise(0.0)).alias("sum"))
+
+    return F.aggregate(more, start, add)["sum"]
+
+
+@dataclass(frozen=True)
+class Measure:
+    """A value of one row of ``judged_once``, and the cut-offs it needs there."""
+
+    value: Callable[[], Column]
+    ks: tuple[int, ...] = ()
+    gain_ks: tuple[int, ...] = ()
+
+
+def registry(collection_size: int, grade: int = 0) -> dict[str, Measure]:
+    """The named measures of the evaluation command. Every measure but the plain counts also as ``_res`` and ``_mle``."""
+    out: dict[str, Measure] = {name: Measure(lambda name=name: F.col(name)) for name in ("num_ret", "num_rel", "num_rel_ret")}
+    for v in VARIANTS:
+        found, rel, n = (lambda v=v: F.col(f"num_rel_ret{v}")), (lambda v=v: F.col(f"num_rel{v}")), (lambda: F.col("num_ret"))
+        p, r = (lambda found=found, n=n: ratio(found(), n())), (lambda found=found, rel=rel: ratio(found(), rel()))
+        out[f"precision{v}"], out[f"recall{v}"] = Measure(p), Measure(r)
         for b in (0.5, 1.0, 3.0):
-            counted(f"f{b:g}{suffix}", base, lambda b=b: f_measure(b))
-        counted(f"wss{suffix}", base, lambda: wss(collection_size))
-        counted(f"nnr{suffix}", base, nnr)
-    for name in ("num_ret", "num_rel", "num_rel_ret"):
-        counted(name, counts, lambda name=name: F.col(name))
-    out["ap"] = lambda run, qrels: average_precision(run, qrels, grade).select(*KEYS, F.col("ap").alias("value"))
-    for k in (10, 100, 1000):
-        out[f"p@{k}"] = lambda run, qrels, k=k: at_k(run, qrels, [k], grade).select(*KEYS, F.col(f"p_{k}").alias("value"))
-        out[f"recall@{k}"] = lambda run, qrels, k=k: at_k(run, qrels, [k], grade).select(*KEYS, F.col(f"recall_{k}").alias("value"))
-    for k in (5, 10, 100, 200, 500):
-        out[f"ndcg@{k}"] = lambda run, qrels, k=k: dcg(run, qrels, [k]).select(*KEYS, F.col(f"ndcg_{k}").alias("value"))
+            out[f"f{b:g}{v}"] = Measure(lambda b=b, p=p, r=r: f_measure(b, p(), r()))
+        out[f"wss{v}"] = Measure(lambda r=r: wss(collection_size, r()))
+        out[f"nnr{v}"] = Measure(lambda found=found: (F.col("num_ret") + 1) / (found() + 1))
+        out[f"ap{v}"] = Measure(lambda v=v, rel=rel: ratio(F.col(f"precisions{v}"), rel()))
+        for k in (10, 100, 1000):
+            out[f"p@{k}{v}"] = Measure(lambda k=k, v=v: F.col(f"hits@{k}{v}") / k, (k,))
+            out[f"recall@{k}{v}"] = Measure(lambda k=k, v=v, rel=rel: ratio(F.col(f"hits@{k}{v}"), rel()), (k,))
+        for k in (5, 10, 100, 200, 500):
+            out[f"ndcg@{k}{v}"] = Measure(lambda k=k, v=v: ratio(F.col(f"dcg@{k}{v}"), ideal_gain(F.col("grades"), F.col(f"added{v}"), k, grade)), (), (k,))
     return out
 
 
-def evaluate(run: DataFrame, qrels: DataFrame, measures: dict[str, Evaluator]) -> DataFrame:
-    """(topic, run_name, name, value) of all given measures."""
-    parts = [fn(run, qrels).select(*KEYS, F.lit(name).alias("name"), "value") for name, fn in measures.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def evaluate(run: DataFrame, qrels: DataFrame, measures: dict[str, Measure], grade: int = 0) -> DataFrame:
+    """(topic, run_name, name, value) of all given measures: one pass over the judged run, however many they are."""
+    ks, gain_ks = sorted({k for m in measures.values() for k in m.ks}), sorted({k for m in measures.values() for k in m.gain_ks})
+    wide = judged_once(run, qrels, ks, gain_ks, grade)
+    values = F.array(*[F.struct(F.lit(name).alias("name"), m.value().cast("double").alias("value")) for name, m in measures.items()])
+    return wide.select(*KEYS, F.inline(values))
 
 
 def summary(evaluated: DataFrame) -> DataFrame:
