@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from ferrule.catalog.evaluation import _r
 from ferrule.catalog.ranking import FIELDS, TOPICS, keyword_topics
+from ferrule.catalog.saved import collection, postings
 from ferrule.catalog.sql import POST, RUN, rounded, words
 from ferrule.operators import evaluate as ev
-from ferrule.operators import index as ix
 from ferrule.operators import predictors as pr
 from ferrule.operators import scorers as sc
 from ferrule.operators import statistics as st
-from ferrule.tables import table
+from ferrule.tables import table, written
 
 
 def _pairs(s, d):
-    return pr.query_pairs(keyword_topics(s), FIELDS, ix.delivered_postings(s, d))
+    return pr.saved_pairs(keyword_topics(s), FIELDS, collection(s, d))
 
 
 def qpp_idf_family(s, d):
@@ -36,14 +36,14 @@ def qpp_cqs_family(s, d):
 
 
 def qpp_query_scope(s, d):
-    p = ix.delivered_postings(s, d)
-    hits = sc.Collection(p).matched(keyword_topics(s), FIELDS).groupBy("topic").agg(F.count_distinct("doc_id").alias("n"))
-    sizes = keyword_topics(s).select("topic").distinct().crossJoin(F.broadcast(p.where(F.col("field").isin(FIELDS)).agg(F.sum("tf").alias("w"))))
+    c = collection(s, d)
+    hits = c.matched(keyword_topics(s), FIELDS).groupBy("topic").agg(F.count_distinct("doc_id").alias("n"))
+    sizes = keyword_topics(s).select("topic").distinct().crossJoin(F.broadcast(c.averages.where(F.col("field").isin(FIELDS)).agg(F.sum("tokens").alias("w"))))
     return _r(pr.query_scope(hits, sizes), "query_scope")
 
 
 def qpp_tf(s, d):
-    return pr.term_containment(keyword_topics(s), ix.delivered_postings(s, d))
+    return pr.term_containment(keyword_topics(s), postings(s, d))
 
 
 def _run(s, d):
@@ -75,16 +75,16 @@ def qpp_weg(s, d):
 
 
 def _weighted(s, d):
-    scores = sc.bm25(sc.Collection(ix.delivered_postings(s, d)), keyword_topics(s), ["ab"])
-    return scores.select("topic", "doc_id", F.round("score", 6).alias("score"))
+    scores = sc.bm25(collection(s, d), keyword_topics(s), ["ab"])
+    return written(scores.select("topic", "doc_id", F.round("score", 6).alias("score")))
 
 
 def qpp_clarity(s, d):
-    return _r(pr.clarity_score(_weighted(s, d), ix.delivered_postings(s, d)), "clarity")
+    return _r(pr.clarity_score(_weighted(s, d), postings(s, d)), "clarity")
 
 
 def _model(s, d):
-    return st.language_model(_weighted(s, d).withColumn("weight", F.lit(1.0)), ix.delivered_postings(s, d), "ab")
+    return st.language_model(_weighted(s, d).withColumn("weight", F.lit(1.0)), postings(s, d), "ab")
 
 
 def lm_probabilities(s, d):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ferrule.catalog.saved import collection
 from ferrule.catalog.sql import CUR, POST, words
 from ferrule.operators import fusion as fu
-from ferrule.operators import index as ix
 from ferrule.operators import scorers as sc
 from ferrule.plans.ast import ABSTRACT, MESH, TITLE, Boolean, Keyword
 from ferrule.tables import table
@@ -19,20 +19,16 @@ def keyword_topics(s):
     return s.createDataFrame([(t, w) for t, ws in TOPICS.items() for w in ws], "topic string, term string")
 
 
-def _collection(s, d):
-    return sc.Collection(ix.delivered_postings(s, d), ix.medline_documents(s, d))
-
-
 def _scored(name):
     def run(s, d):
-        scores = sc.SCORERS[name](_collection(s, d), keyword_topics(s), FIELDS)
+        scores = sc.SCORERS[name](collection(s, d), keyword_topics(s), FIELDS)
         return scores.select("topic", "doc_id", F.round(F.col("score").cast("double"), 6).alias("score"))
 
     return run
 
 
 def rank_top(s, d):
-    scores = sc.bm25(_collection(s, d), keyword_topics(s), FIELDS).withColumn("score", F.round("score", 6))
+    scores = sc.bm25(collection(s, d), keyword_topics(s), FIELDS).withColumn("score", F.round("score", 6))
     return sc.rank(scores, "bm25", 10)
 
 
@@ -66,7 +62,7 @@ def gain_cutoff(s, d):
 
 
 def fuse_clm(s, d):
-    matched = sc.Collection(ix.delivered_postings(s, d)).matched(keyword_topics(s), FIELDS).select("topic", F.col("term").alias("clause"), "doc_id")
+    matched = collection(s, d).matched(keyword_topics(s), FIELDS).select("topic", F.col("term").alias("clause"), "doc_id")
     return fu.coordination_level(matched)
 
 
@@ -74,11 +70,11 @@ TREE = Boolean("or", (Boolean("and", (Keyword("thrombosis", (TITLE, ABSTRACT)),
 
 
 def fuse_clf_tree(s, d):
-    return fu.fuse_tree({"T1": TREE}, _collection(s, d), ("bm25", "pos")).withColumn("score", F.round("score", 5))
+    return fu.fuse_tree({"T1": TREE}, collection(s, d), ("bm25", "pos")).withColumn("score", F.round("score", 5))
 
 
 def fuse_all_scorers(s, d):
-    return fu.fuse_tree({"T1": TREE}, _collection(s, d)).withColumn("score", F.round("score", 4))
+    return fu.fuse_tree({"T1": TREE}, collection(s, d)).withColumn("score", F.round("score", 4))
 
 
 QUERIES = {f"rank_{n}": _scored(n) for n in sc.SCORERS} | {f.__name__: f for f in (rank_top, norm_minmax, fuse_combsum, fuse_combmnz, rank_position_score, gain_cutoff, fuse_clm, fuse_clf_tree, fuse_all_scorers)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import scorers as sc
 from ferrule.plans.ast import ABSTRACT, ALL, MESH_FIELDS, TEXT, TITLE, Boolean, Keyword, Node, keywords
+from ferrule.tables import written
 
 KEYS = ["topic", "list_id"]
 
@@ -67,7 +68,8 @@ def fuse_tree(queries: Mapping[str, Node], collection: sc.Collection, leaf_score
 
     Leaf: the scores of all leaf scorers, each min-max scaled and raised by 1, merged by CombMNZ and
     scaled again. Inner node: the lists of its children merged, by CombSUM for ``and``, else by CombMNZ. All leaves of all
-    topics are scored in one plan; inner nodes are merged level by level from the deepest, each level in one aggregation.
+    topics are scored in one plan and written once; inner nodes are merged level by level from the deepest, each level in one aggregation over
+    one input: rows that do not rise yet pass through it. The plan grows by one aggregation a level.
     """
     spark = collection.postings.sparkSession
     leaves = {(t, str(k)): k for t, q in queries.items() for k in keywords(q)}
@@ -78,34 +80,43 @@ def fuse_tree(queries: Mapping[str, Node], collection: sc.Collection, leaf_score
             routed |= {(f"{topic}\t{name}", w.rstrip("*"), f) for w in words}
     if not routed:
         return spark.createDataFrame([], "topic string, doc_id long, score double")
-    every = sc.all_scores(collection, spark.createDataFrame(sorted(routed), "topic string, term string, field string"))
-    lists = F.inline(F.array(*[F.struct(F.lit(n).alias("list_id"), F.col(n).cast("double").alias("score")) for n in leaf_scorers]))
-    scored = every.select("topic", "doc_id", lists)
-    lifted = min_max(scored).withColumn("score", F.col("score") + 1)
-    fused = min_max(comb_mnz(lifted), ["topic"]).withColumn("score", F.col("score") + 1)
-    leaf = fused.select(F.split_part("topic", F.lit("\t"), F.lit(1)).alias("topic"), F.split_part("topic", F.lit("\t"), F.lit(2)).alias("leaf"), "doc_id", "score")
-    places, ops = [], {}
+    every = written(sc.all_scores(collection, spark.createDataFrame(sorted(routed), "topic string, term string, field string")))
+    scaled = _scaled(every, list(leaf_scorers))
+    lifted = F.array(*[F.col(n) + 1 for n in leaf_scorers])
+    fused = scaled.select("topic", "doc_id", (F.aggregate(lifted, F.lit(0.0), lambda a, v: a + v) * F.size(F.filter(lifted, lambda v: v > 0))).alias("score"))
+    leaf = _scaled(fused, ["score"]).select(F.split_part("topic", F.lit("\t"), F.lit(1)).alias("topic"), F.split_part("topic", F.lit("\t"), F.lit(2)).alias("leaf"), "doc_id", (F.col("score") + 1).alias("score"))
+    places, inner, deepest = [], [], 0
     for topic, root in queries.items():
         stack = [(root, "0", None, 0)]
         while stack:
             node, place, parent, depth = stack.pop()
+            deepest = max(deepest, depth)
             if isinstance(node, Keyword):
                 places.append((topic, str(node), place, parent or "", depth))
             else:
-                ops[topic, place] = (node.operator, parent or "", depth)
+                inner.append((topic, place, node.operator == "and", parent or "", depth))
                 stack += [(c, f"{place}.{i}", place, depth + 1) for i, c in enumerate(node.children)]
-    where = spark.createDataFrame(places, "topic string, leaf string, place string, parent string, depth int")
-    current = leaf.join(where, ["topic", "leaf"]).select("topic", "place", "parent", "depth", "doc_id", "score")
-    deepest = max((d for *_, d in places), default=0)
+    where = F.broadcast(spark.createDataFrame(places, "topic string, leaf string, place string, parent string, depth int"))
+    nodes = F.broadcast(spark.createDataFrame(inner, "topic string, place string, is_and boolean, up string, level int"))
+    # By document, so that the merges of all levels need no further shuffle.
+    current = leaf.join(where, ["topic", "leaf"]).select("topic", "place", "parent", "depth", "doc_id", "score").repartition("topic", "doc_id")
     for depth in range(deepest, 0, -1):
-        inner = [(t, p, op == "and", parent, d) for (t, p), (op, parent, d) in ops.items() if d == depth - 1]
-        nodes = spark.createDataFrame(inner, "topic string, place string, is_and boolean, parent string, depth int")
-        merged = current.where(F.col("depth") == depth).groupBy("topic", F.col("parent").alias("place"), "doc_id").agg(F.sum("score").alias("s"), F.count_if(F.col("score") > 0).alias("k"))
-        up = merged.join(F.broadcast(nodes), ["topic", "place"]).select("topic", "place", "parent", "depth", "doc_id", F.when(F.col("is_and"), F.col("s")).otherwise(F.col("s") * F.col("k")).alias("score"))
-        current = current.where(F.col("depth") < depth).unionByName(up)
+        rises = F.col("depth") == depth
+        target = current.select("topic", F.when(rises, F.col("parent")).otherwise(F.col("place")).alias("place"), "doc_id", "score", rises.alias("rises"), F.when(~rises, F.col("parent")).alias("parent"), F.when(~rises, F.col("depth")).alias("depth"))
+        merged = target.groupBy("topic", "place", "doc_id").agg(F.sum("score").alias("s"), F.count_if(F.col("score") > 0).alias("k"), F.max("rises").alias("rises"), F.max("parent").alias("parent"), F.max("depth").alias("depth"))
+        placed = merged.join(nodes, ["topic", "place"], "left")
+        score = F.when(~F.col("rises") | F.col("is_and"), F.col("s")).otherwise(F.col("s") * F.col("k"))
+        current = placed.select("topic", "place", F.coalesce("parent", "up").alias("parent"), F.coalesce("depth", "level").alias("depth"), "doc_id", score.alias("score"))
     return current.where("depth = 0").select("topic", "doc_id", "score")
 
 
+def _scaled(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns scaled to [0, 1] within each topic, 0 where a topic has a single value. The ends are one row for each keyword of the given queries."""
+    ends = rows.groupBy("topic").agg(*[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("lo", F.min), ("hi", F.max))])
+    value = lambda c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0)
+    return rows.join(F.broadcast(ends), "topic").select("topic", "doc_id", *[value(c).alias(c) for c in columns])
+
+
 def is_boolean(node: Node) -> bool:
     return isinstance(node, Boolean)
 

@@ -80,3 +80,20 @@ def document_vectors(postings: DataFrame) -> DataFrame:
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def save_index(postings: DataFrame, folder: str) -> None:
+    """Writes what every ranking needs once: the ``postings`` in order of term within each file, so that a query's terms prune row groups, and three tables of
+    statistics: ``lengths`` (doc_id, field, dl, distinct_terms), ``terms`` (term, field, df, ttf) and ``fields`` (field, tokens, avgdl, n).
+
+    ``postings`` has one row per (term, field, doc_id); n counts the documents of any field, and avgdl is over all of these.
+    """
+    spark = postings.sparkSession
+    postings.sortWithinPartitions("term", "field").write.parquet(f"{folder}/postings")
+    held = spark.read.parquet(f"{folder}/postings")
+    held.groupBy("doc_id", "field").agg(F.sum("tf").alias("dl"), F.count(F.lit(1)).alias("distinct_terms")).write.parquet(f"{folder}/lengths")
+    held.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf")).sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+    lengths = spark.read.parquet(f"{folder}/lengths")
+    n = lengths.agg(F.count_distinct("doc_id").alias("n"))
+    sums = lengths.groupBy("field").agg(F.sum("dl").alias("tokens")).crossJoin(F.broadcast(n))  # one row
+    sums.select("field", "tokens", (F.col("tokens") / F.col("n")).alias("avgdl"), "n").write.parquet(f"{folder}/fields")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators.scorers import Collection
 from ferrule.operators.statistics import idf, jelinek_mercer, kl_divergence, language_model
 
 
@@ -23,6 +24,14 @@ def query_pairs(terms: DataFrame, fields: list[str], postings: DataFrame) -> Dat
     return out.na.fill(0, ["df", "ttf", "w"])
 
 
+def saved_pairs(terms: DataFrame, fields: list[str], collection: Collection) -> DataFrame:
+    """``query_pairs`` from the tables of a saved collection: no postings are read."""
+    sizes = collection.averages.where(F.col("field").isin(fields)).select("field", F.col("tokens").alias("w"))
+    pairs = terms.withColumn("field", F.explode(F.array(*map(F.lit, fields))))
+    out = pairs.join(collection.statistics(terms, fields), ["term", "field"], "left").join(F.broadcast(sizes), "field", "left").crossJoin(F.broadcast(collection.n))  # one row a field, one row
+    return out.na.fill(0, ["df", "ttf", "w"])
+
+
 def idf_family(pairs: DataFrame) -> DataFrame:
     """(topic, avg_idf, sum_idf, max_idf, std_idf): avg over keywords, not pairs; a term that no document has counts idf 0; std is the sample's, 0 for one keyword."""
     value = F.when(F.col("df") > 0, idf(F.col("n"), F.col("df"))).otherwise(0.0)

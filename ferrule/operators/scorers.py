@@ -9,20 +9,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.operators.statistics import idf
 
+#: Terms of queries that are named in the filter of a scan; more of them are joined.
+FEW_TERMS = 1_000
+
 
 @dataclass(frozen=True)
 class Collection:
-    """Postings, with documents (doc_id, dcom) where dates are wanted."""
+    """Postings, with documents (doc_id, dcom) where dates are wanted. One made by ``saved`` reads the statistics of ``index.save_index`` instead of all postings."""
 
     postings: DataFrame
     docs: DataFrame | None = None
     cache: dict = field(default_factory=dict, compare=False)
 
+    @classmethod
+    def saved(cls, spark: SparkSession, folder: str, docs: DataFrame | None = None) -> "Collection":
+        fields = spark.read.parquet(f"{folder}/fields")
+        tables = {"n": fields.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")), "averages": fields.select("field", "avgdl", "tokens"), "lengths": spark.read.parquet(f"{folder}/lengths"), "terms": spark.read.parquet(f"{folder}/terms")}
+        return cls(spark.read.parquet(f"{folder}/postings"), docs, tables)
+
     def _once(self, name: str, make) -> DataFrame:
         if name not in self.cache:
             self.cache[name] = make()
@@ -40,15 +49,21 @@ class Collection:
     def averages(self) -> DataFrame:
         return self._once("averages", lambda: self.lengths.groupBy("field").agg(F.sum("dl").alias("s")).crossJoin(F.broadcast(self.n)).select("field", (F.col("s") / F.col("n")).alias("avgdl"), F.col("s").alias("tokens")))
 
+    def wanted(self, terms: DataFrame, fields: list[str]) -> DataFrame:
+        """The postings of the terms in the fields. Up to ``FEW_TERMS`` terms are handed to the scan, which then skips the row groups without them."""
+        held = self.postings.where(F.col("field").isin(fields))
+        few = [r.term for r in terms.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+        return held.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else held.join(terms.select("term").distinct(), "term", "left_semi")
+
     def matched(self, terms: DataFrame, fields: list[str]) -> DataFrame:
         """(topic, term, field, doc_id, tf, pos): the wanted postings, once per topic."""
-        held = self.postings.where(F.col("field").isin(fields))
-        return held.join(terms.select("topic", "term").distinct(), "term")
+        return self.wanted(terms, fields).join(terms.select("topic", "term").distinct(), "term")
 
     def statistics(self, terms: DataFrame, fields: list[str]) -> DataFrame:
         """(term, field, df, ttf) of the query's terms only."""
-        held = self.postings.where(F.col("field").isin(fields)).join(terms.select("term").distinct(), "term", "left_semi")
-        return held.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
+        if "terms" in self.cache:
+            return self.cache["terms"].where(F.col("field").isin(fields)).join(terms.select("term").distinct(), "term", "left_semi")
+        return self.wanted(terms, fields).groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
 
     def with_statistics(self, terms: DataFrame, fields: list[str]) -> DataFrame:
         return self.matched(terms, fields).join(self.statistics(terms, fields), ["term", "field"]).crossJoin(F.broadcast(self.n))
@@ -138,8 +153,8 @@ def all_scores(c: Collection, routed: DataFrame, k1: float = 1.2, b: float = 0.1
     ``routed`` has (topic, term, field). The wanted postings are read, joined with their statistics and aggregated once for all scorers.
     """
     routed = routed.distinct()
-    held = c.postings.join(routed.select("term", "field").distinct(), ["term", "field"], "left_semi")
-    stats = held.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    held = c.wanted(routed, ["ti", "ab", "mh"]).join(routed.select("term", "field").distinct(), ["term", "field"], "left_semi")
+    stats = c.cache["terms"].join(routed.select("term", "field").distinct(), ["term", "field"], "left_semi") if "terms" in c.cache else held.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     matched = held.join(routed, ["term", "field"])
     tf, weight = F.col("tf"), idf(F.col("n"), F.col("df"))
     m = matched.join(stats, ["term", "field"]).crossJoin(F.broadcast(c.n)).join(c.lengths.select("doc_id", "field", "dl"), ["doc_id", "field"]).join(F.broadcast(c.averages), "field")
