@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrule.catalog.sql import CUR, POST
+from ferrule.catalog.sql import CUR, POST, number
 from ferrule.functions import text as tx
 from ferrule.operators import index as ix
 from ferrule.operators.statistics import StatisticsSource
@@ -113,7 +113,7 @@ def population_sample(s, d):
 
 
 def trec_lines(s, d):
-    return writers.trec_lines(table(s, d, "runs").where("topic IS NOT NULL AND doc_id IS NOT NULL AND rank IS NOT NULL").withColumn("score", F.lit(0))).select("value")
+    return writers.trec_lines(table(s, d, "runs").where("topic IS NOT NULL AND doc_id IS NOT NULL AND rank IS NOT NULL")).select("value")
 
 
 _SENT = r"regexp_split_to_array(ab, '[.!?]+\s+')"
@@ -156,5 +156,5 @@ SELECT doc_id, (length(t) - length(replace(t, 'patient', ''))) // 7 AS patient,
 FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', ti, ab)), {_TERM})) AS x FROM cur)""",
     "fetched_documents": f"WITH {CUR} SELECT doc_id, ti FROM cur WHERE doc_id IN (SELECT pmid FROM term_vectors)",
     "population_sample": f"WITH {CUR} SELECT doc_id FROM cur WHERE dcom BETWEEN DATE '2015-01-01' AND DATE '2022-12-31' ORDER BY doc_id LIMIT 10000",
-    "trec_lines": "SELECT concat_ws(' ', topic, coalesce(iteration, 'Q0'), doc_id, CAST(rank AS VARCHAR), '0', run_name) AS value FROM runs WHERE topic IS NOT NULL AND doc_id IS NOT NULL AND rank IS NOT NULL",
+    "trec_lines": f"SELECT concat_ws(' ', topic, coalesce(iteration, 'Q0'), doc_id, CAST(rank AS VARCHAR), {number('score')}, run_name) AS value FROM runs WHERE topic IS NOT NULL AND doc_id IS NOT NULL AND rank IS NOT NULL",
 }

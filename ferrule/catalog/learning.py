@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrule.catalog.evaluation import _r
-from ferrule.catalog.boolean import TREES
+from ferrule.catalog.saved import postings
+from ferrule.catalog.sql import POST, number, tree_sql
+from ferrule.catalog.structure import clauses
+from ferrule.operators import index as ix
 from ferrule.operators import learning as le
 from ferrule.operators import sampling as sa
-from ferrule.plans.variations import Candidate
+from ferrule.plans.parsers import parse_expression, parse_medline
+from ferrule.plans.variations import Candidate, variations
 from ferrule.sources import writers
-from ferrule.tables import table
+from ferrule.sources.readers import parse_column
+from ferrule.tables import table, written
 
 
 def candidates(s, d):
@@ -51,9 +56,37 @@ def sample_scored_stratified(s, d):
     return sa.against_baseline(candidates(s, d), _baselines(s, d), 5, "stratified").select(*ID)
 
 
+#: A first query for each heading; a heading's documents are the relevant ones.
+STARTS = {
+    "hypertension": "1. (blood adj2 pressure).ti,ab.\n2. hypertens$.ti,ab.\n3. or/1-2\n4. patient$.ab.\n5. 3 and 4",
+    "anxiety": "(anxiety.ti,ab. or panic.ti,ab.) and exp Anxiety/",
+    "sepsis": "(exp Sepsis/ or sepsis.ti.) not malaria.ab.",
+}
+
+
+def executed_queries() -> dict[str, list[Candidate]]:
+    """Per heading its first query and every query one edit away."""
+    parsed = {t: Candidate(parse_medline(q) if q.startswith("1.") else parse_expression(q), -1) for t, q in STARTS.items()}
+    return {t: [c, *variations(c)] for t, c in parsed.items()}
+
+
+def candidate_results(s, d):
+    """What each candidate retrieves, with its F1."""
+    return _r(le.f1_scored(_executed(s, d)), "score")
+
+
+def _executed(s, d):
+    judged = ix.delivered_postings(s, d).where(F.col("field").eqNullSafe("mh") & F.col("term").isin(list(STARTS))).select(F.col("term").alias("topic"), "doc_id")
+    return le.executed(executed_queries(), postings(s, d), judged)
+
+
 def sample_greedy(s, d):
-    c = candidates(s, d).withColumn("retrieved", F.coalesce(F.size("features"), F.lit(0)))
-    return sa.greedy(c, 4).select(*ID, "retrieved")
+    return sa.greedy(candidate_results(s, d), 4, "ret").select(*ID, "ret")
+
+
+def sample_evaluated(s, d):
+    """Candidates spread evenly over the F1 that they reach."""
+    return sa.balanced_scored(candidate_results(s, d), 5).select(*ID, "score")
 
 
 def sample_mmr(s, d):
@@ -73,8 +106,10 @@ def select_random(s, d):
 
 
 def select_oracle(s, d):
-    c = candidates(s, d).select(*ID, F.coalesce(F.size("features"), F.lit(0)).alias("rel_ret"), (F.col("candidate_id") % 97 + 1).alias("ret"))
-    return le.oracle(c, c.groupBy("topic").agg(F.min("rel_ret").alias("cur_rel_ret"), F.max("ret").alias("cur_ret"))).select(*ID, "rel_ret", "ret")
+    """The candidate that retrieves no less of the relevant than the first query, and no more in all."""
+    c = written(_executed(s, d))
+    current = c.where("candidate_id = 0").select("topic", F.col("rel_ret").alias("cur_rel_ret"), F.col("ret").alias("cur_ret"))
+    return le.oracle(c.where("candidate_id > 0"), current).select(*ID, "rel_ret", "ret")
 
 
 def average_scores(s, d):
@@ -98,18 +133,25 @@ def select_ranker(s, d):
 
 
 def features_libsvm(s, d):
-    c = candidates(s, d).withColumn("score", F.lit(0)).withColumn("features", F.map_from_arrays(F.transform(F.map_keys("features"), lambda k: k), F.transform(F.map_values("features"), lambda v: F.round(v * 1000).cast("long"))))
-    return writers.libsvm_rank_lines(c.withColumn("comment", F.col("candidate_id").cast("string")))
+    return writers.libsvm_rank_lines(candidates(s, d).withColumn("comment", F.col("candidate_id").cast("string")))
 
 
 def explored_candidates(s, d):
-    """Candidates reached from a query of this package in breadth-first order, two levels, the first 40 of each."""
-    found = le.breadth_first(Candidate(TREES["nested"], -1), lambda level: level[:40], 2)
-    return s.createDataFrame(le.candidate_rows(found, "nested"), le.CANDIDATE_SCHEMA)
+    """(hash, candidate_id, transformation_id, depth, query): all candidates within two edits of every clause, breadth first."""
+    import pandas as pd
+
+    from ferrule.plans.ast import from_json
+
+    def go(batches):
+        for pdf in batches:
+            rows = [(h, i, c.transformation, c.depth, str(c.query)) for h, q in zip(pdf["hash"], pdf["query"]) if q is not None for i, c in enumerate(le.breadth_first(Candidate(from_json(q), -1), lambda level: level, 2))]
+            yield pd.DataFrame(rows, columns=["hash", "candidate_id", "transformation_id", "depth", "query"])
+
+    return parse_column(clauses(s, d), "hash", "query").select("hash", "query").mapInPandas(go, "hash long, candidate_id long, transformation_id int, depth int, query string")
 
 
 QUERIES = {f.__name__: f for f in (
-    sample_balanced, sample_stratified, sample_random, sample_scored_balanced, sample_positive_negative, sample_scored_stratified, sample_greedy, sample_mmr, sample_clusters, select_best, select_random, select_oracle,
+    sample_balanced, sample_stratified, sample_random, sample_scored_balanced, sample_positive_negative, sample_scored_stratified, candidate_results, sample_greedy, sample_evaluated, sample_mmr, sample_clusters, select_best, select_random, select_oracle,
     average_scores, nearest_cosines, select_nearest, select_ranker, features_libsvm, explored_candidates,
 )}
 _C = """c AS (SELECT topic, candidate_id, coalesce(max(transformation_id), 0) AS tid, max(s) AS score, any_value(features) AS features FROM (
@@ -120,6 +162,12 @@ _COS = """f AS (SELECT topic, candidate_id, unnest(map_keys(features)) AS f, unn
 g AS (SELECT topic AS mt, f, v AS w FROM f WHERE (topic, candidate_id) IN (SELECT (topic, candidate_id) FROM z WHERE best = 1)),
 na AS (SELECT topic, candidate_id, sqrt(sum(v * v)) AS na FROM f GROUP BY ALL), nb AS (SELECT mt, sqrt(sum(w * w)) AS nb FROM g GROUP BY ALL),
 k AS (SELECT topic, candidate_id, mt AS model_topic, sum(v * w) / any_value(na) / any_value(nb) AS cosine FROM f JOIN g USING (f) JOIN na USING (topic, candidate_id) JOIN nb USING (mt) WHERE v <> 0 AND w <> 0 GROUP BY ALL)"""
+_EXECUTED = f"""WITH {POST}, j AS (SELECT DISTINCT term AS topic, doc_id FROM p WHERE field = 'mh' AND term IN ({", ".join(f"'{t}'" for t in STARTS)})),
+q AS ({" UNION ALL ".join(f"SELECT '{t}' AS topic, {i} AS candidate_id, {c.transformation} AS transformation_id" for t, cs in executed_queries().items() for i, c in enumerate(cs))}),
+h AS ({" UNION ALL ".join(f"SELECT '{t}' AS topic, {i} AS candidate_id, doc_id FROM ({tree_sql(c.query)})" for t, cs in executed_queries().items() for i, c in enumerate(cs))}),
+n AS (SELECT topic, candidate_id, count(*) AS ret, count(j.doc_id) AS rel_ret FROM h LEFT JOIN j USING (topic, doc_id) GROUP BY ALL), l AS (SELECT topic, count(*) AS rel FROM j GROUP BY topic),
+e AS (SELECT topic, candidate_id, transformation_id, coalesce(ret, 0) AS ret, coalesce(rel_ret, 0) AS rel_ret, coalesce(rel, 0) AS rel, CASE WHEN rel_ret > 0 THEN 2 * rel_ret / (ret + rel) ELSE 0 END AS f1
+  FROM q LEFT JOIN n USING (topic, candidate_id) LEFT JOIN l USING (topic))"""
 ORACLES = {
     "sample_balanced": f"""WITH {_C}, t AS (SELECT *, row_number() OVER (PARTITION BY topic, tid ORDER BY candidate_id) AS i FROM z)
 SELECT topic, candidate_id, tid AS transformation_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY i, tid, candidate_id) AS k FROM t) WHERE k <= floor(len * 0.1) + 4""",
@@ -129,15 +177,18 @@ SELECT topic, candidate_id, tid AS transformation_id FROM t WHERE i <= ceil((flo
     "sample_positive_negative": f"""WITH {_C}, {_B} SELECT CASE WHEN up THEN 'positive' ELSE 'negative' END AS side, topic, candidate_id
 FROM (SELECT *, row_number() OVER (PARTITION BY topic, up ORDER BY score DESC, candidate_id) AS i FROM u) WHERE i <= 3""",
     "sample_scored_stratified": f"""WITH {_C}, {_B} SELECT topic, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY topic, up ORDER BY score DESC, candidate_id) AS i, count(*) OVER (PARTITION BY topic, up) AS m FROM u) WHERE i <= ceil(5 * m / len)""",
-    "sample_greedy": f"WITH {_C} SELECT topic, candidate_id, r AS retrieved FROM (SELECT *, coalesce(len(map_keys(features)), 0) AS r, row_number() OVER (PARTITION BY topic ORDER BY coalesce(len(map_keys(features)), 0), score DESC, candidate_id) AS i FROM z) WHERE i <= 4",
+    "candidate_results": f"{_EXECUTED} SELECT topic, candidate_id, transformation_id, ret, rel_ret, rel, round(f1, 6) AS score FROM e",
+    "sample_greedy": f"{_EXECUTED} SELECT topic, candidate_id, ret FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ret, round(f1, 6) DESC, candidate_id) AS i FROM e) WHERE i <= 4",
+    "sample_evaluated": f"""{_EXECUTED} SELECT topic, candidate_id, round(f1, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(f1, 6) DESC, candidate_id) AS i, count(*) OVER (PARTITION BY topic) AS len FROM e)
+WHERE (i - 1) % CAST(ceil(len / 5) AS BIGINT) = 0""",
     "select_best": f"WITH {_C} SELECT topic, candidate_id, score FROM z WHERE best = 1",
-    "select_oracle": f"""WITH {_C}, o AS (SELECT topic, candidate_id, coalesce(len(map_keys(features)), 0) AS rel_ret, candidate_id % 97 + 1 AS ret FROM c)
-SELECT topic, candidate_id, rel_ret, ret FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY rel_ret DESC, ret, candidate_id) AS i FROM o) WHERE i = 1""",
+    "select_oracle": f"""{_EXECUTED} SELECT topic, candidate_id, rel_ret, ret FROM (SELECT e.*, row_number() OVER (PARTITION BY topic ORDER BY e.rel_ret DESC, e.ret, e.candidate_id) AS i
+FROM e JOIN (SELECT topic, ret AS r0, rel_ret AS rr0 FROM e WHERE candidate_id = 0) USING (topic) WHERE candidate_id > 0 AND rel_ret >= rr0 AND ret <= r0) WHERE i = 1""",
     "average_scores": """SELECT topic, candidate_id, round(max(a), 9) AS average_score FROM (SELECT topic, candidate_id, list_avg(list_filter(scores, lambda x: x IS NOT NULL AND NOT isnan(x))) AS a FROM learnt_features)
 WHERE topic IS NOT NULL AND candidate_id IS NOT NULL GROUP BY ALL""",
     "nearest_cosines": f"WITH {_C}, {_COS} SELECT topic, candidate_id, model_topic, round(cosine, 6) AS cosine FROM k",
     "select_nearest": f"""WITH {_C}, {_COS} SELECT topic, candidate_id, model_topic, round(cosine, 6) AS cosine
 FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(cosine, 9) DESC, candidate_id, model_topic) AS i FROM k WHERE topic <> model_topic) WHERE i = 1""",
-    "features_libsvm": f"""WITH {_C}, x AS (SELECT topic, candidate_id, unnest(map_keys(features)) AS f, unnest(map_values(features)) AS v FROM c)
-SELECT '0 qid:' || topic || ' ' || string_agg(f || ':' || CAST(round(v * 1000) AS BIGINT), ' ' ORDER BY f) || ' # ' || candidate_id AS value FROM x GROUP BY topic, candidate_id""",
+    "features_libsvm": f"""WITH {_C}, x AS (SELECT topic, candidate_id, score, unnest(map_keys(features)) AS f, unnest(map_values(features)) AS v FROM c)
+SELECT ({number('any_value(score)')}) || ' qid:' || topic || ' ' || string_agg(f || ':' || ({number('v')}), ' ' ORDER BY f) || ' # ' || candidate_id AS value FROM x GROUP BY topic, candidate_id""",
 }

@@ -21,3 +21,29 @@ def words(topics: dict[str, list[str]]) -> str:
 
 def rounded(columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns.split())
+
+
+def tree_sql(node) -> str:
+    """The documents of a query tree as set algebra over ``p``: a keyword is the union over its fields of the intersection over its words."""
+    from ferrule.plans.ast import Keyword
+
+    if isinstance(node, Keyword):
+        fields = {"title": ["ti"], "abstract": ["ab"], "mesh_headings": ["mh"], "text_word": ["ti", "ab"], "all_fields": ["ti", "ab", "mh"]}
+        parts = []
+        for field in dict.fromkeys(f for name in node.fields for f in fields[name]):
+            words = [node.text.lower()] if field == "mh" else node.text.lower().split()
+            parts.append(" INTERSECT ".join(f"SELECT doc_id FROM p WHERE field = '{field}' AND " + (f"starts_with(term, '{w[:-1]}')" if w.endswith("*") else f"term = '{w}'") for w in words))
+        return " UNION ".join(f"SELECT doc_id FROM ({part})" for part in parts)
+    first, *rest = [f"SELECT doc_id FROM ({tree_sql(c)})" for c in node.children]
+    if node.operator == "not":
+        return f"{first} EXCEPT SELECT doc_id FROM ({' UNION '.join(rest)})" if rest else first
+    return (" UNION " if node.operator == "or" else " INTERSECT ").join([first, *rest])
+
+
+def number(x: str) -> str:
+    """A double as Spark prints it: below a thousandth with an exponent, NaN in capitals."""
+    text = f"CAST({x} AS VARCHAR)"
+    digits = rf"regexp_extract({text}, '^(-?)0\.(0*)([1-9])(\d*)$', {{}})"
+    plain = f"{digits.format(1)} || {digits.format(3)} || '.' || CASE WHEN {digits.format(4)} = '' THEN '0' ELSE {digits.format(4)} END || 'E-' || (length({digits.format(2)}) + 1)"
+    short = f"split_part({text}, 'e', 1) || CASE WHEN contains(split_part({text}, 'e', 1), '.') THEN '' ELSE '.0' END || 'E' || CAST(split_part({text}, 'e', 2) AS INTEGER)"
+    return f"CASE WHEN isnan({x}) THEN 'NaN' WHEN {x} = 0 OR abs({x}) >= 0.001 THEN {text} WHEN contains({text}, 'e') THEN {short} ELSE {plain} END"

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random as rnd
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.plans.boolean import matching
 from ferrule.plans.variations import Candidate, variations
 
 
@@ -26,6 +27,29 @@ def oracle(df: DataFrame, current: DataFrame) -> DataFrame:
     return fit.withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i", "cur_rel_ret", "cur_ret")
 
 
+def executed(candidates: Mapping[str, list[Candidate]], postings: DataFrame, judged: DataFrame) -> DataFrame:
+    """(topic, candidate_id, transformation_id, ret, rel_ret, rel): what every candidate query of every topic retrieves, and how much of it is relevant.
+
+    ``candidate_id`` is the position in the topic's list, ``judged`` (topic, doc_id) the relevant documents, ``rel`` their number. All queries are
+    executed by one scan of the postings they want and one aggregation by document; a query without results has zeros.
+    """
+    spark = postings.sparkSession
+    named = {f"{topic}\t{i}": c for topic, cs in candidates.items() for i, c in enumerate(cs)}
+    known = spark.createDataFrame([(*n.rsplit("\t", 1), c.transformation) for n, c in named.items()], "topic string, candidate_id string, transformation_id int")
+    hits = matching({n: c.query for n, c in named.items()}, postings).select(*[F.split_part("topic", F.lit("\t"), F.lit(i)).alias(n) for i, n in ((1, "topic"), (2, "candidate_id"))], "doc_id")
+    relevant = judged.select("topic", "doc_id").distinct()
+    sums = hits.join(relevant.withColumn("r", F.lit(1)), ["topic", "doc_id"], "left").groupBy("topic", "candidate_id").agg(F.count(F.lit(1)).alias("ret"), F.count("r").alias("rel_ret"))
+    rel = relevant.groupBy("topic").agg(F.count(F.lit(1)).alias("rel"))
+    out = known.join(sums, ["topic", "candidate_id"], "left").join(rel, "topic", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("topic", F.col("candidate_id").cast("long").alias("candidate_id"), "transformation_id", zero("ret"), zero("rel_ret"), zero("rel"))
+
+
+def f1_scored(df: DataFrame) -> DataFrame:
+    """``executed`` with score, the F1 of each candidate; 0 where it finds nothing relevant."""
+    return df.withColumn("score", F.when(F.col("rel_ret") > 0, 2 * F.col("rel_ret") / (F.col("ret") + F.col("rel"))).otherwise(0.0))
+
+
 def random_choice(df: DataFrame, seed: int) -> DataFrame:
     order = Window.partitionBy("topic").orderBy(F.xxhash64("candidate_id", F.lit(seed)), "candidate_id")
     return df.withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
