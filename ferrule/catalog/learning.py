@@ -157,6 +157,7 @@ QUERIES = {f.__name__: f for f in (
 _C = """c AS (SELECT topic, candidate_id, coalesce(max(transformation_id), 0) AS tid, max(s) AS score, any_value(features) AS features FROM (
   SELECT *, scores[1] AS s FROM learnt_features) WHERE topic IS NOT NULL AND candidate_id IS NOT NULL AND s IS NOT NULL AND NOT isnan(s) GROUP BY ALL),
 z AS (SELECT *, count(*) OVER (PARTITION BY topic) AS len, row_number() OVER (PARTITION BY topic ORDER BY score DESC, candidate_id) AS best FROM c)"""
+_RANDOM = "((candidate_id % 1000003) * 7919 + {} * 104729) % 1000003"
 _B = "b AS (SELECT topic, round(avg(score), 9) AS baseline FROM c GROUP BY topic), u AS (SELECT z.*, score >= baseline AS up FROM z JOIN b USING (topic))"
 _COS = """f AS (SELECT topic, candidate_id, unnest(map_keys(features)) AS f, unnest(map_values(features)) AS v FROM c),
 g AS (SELECT topic AS mt, f, v AS w FROM f WHERE (topic, candidate_id) IN (SELECT (topic, candidate_id) FROM z WHERE best = 1)),
@@ -173,6 +174,8 @@ ORACLES = {
 SELECT topic, candidate_id, tid AS transformation_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY i, tid, candidate_id) AS k FROM t) WHERE k <= floor(len * 0.1) + 4""",
     "sample_stratified": f"""WITH {_C}, t AS (SELECT *, row_number() OVER (PARTITION BY topic, tid ORDER BY candidate_id) AS i, count(*) OVER (PARTITION BY topic, tid) AS m FROM z)
 SELECT topic, candidate_id, tid AS transformation_id FROM t WHERE i <= ceil((floor(len * 0.1) + 4) * m / len)""",
+    "sample_random": f"WITH {_C} SELECT topic, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_RANDOM.format(7)}, candidate_id) AS k FROM z) WHERE k <= floor(len * 0.1) + 4",
+    "select_random": f"WITH {_C} SELECT topic, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_RANDOM.format(3)}, candidate_id) AS k FROM z) WHERE k = 1",
     "sample_scored_balanced": f"WITH {_C} SELECT topic, candidate_id, score FROM z WHERE (best - 1) % CAST(ceil(len / 4) AS BIGINT) = 0",
     "sample_positive_negative": f"""WITH {_C}, {_B} SELECT CASE WHEN up THEN 'positive' ELSE 'negative' END AS side, topic, candidate_id
 FROM (SELECT *, row_number() OVER (PARTITION BY topic, up ORDER BY score DESC, candidate_id) AS i FROM u) WHERE i <= 3""",

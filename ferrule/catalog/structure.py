@@ -23,7 +23,9 @@ def _nodes(s, d):
 
 
 def clause_nodes(s, d):
-    return _nodes(s, d)
+    """The nodes of every clause in pre-order; -1 stands for no parent or top, false for options that are not given."""
+    number, flag = ({c: F.coalesce(c, F.lit(v)) for c in names} for names, v in ((("parent_id", "top"), -1), (("exploded", "truncated"), False)))
+    return _nodes(s, d).withColumns({"fields": F.array_join("fields", ","), **number, **flag})
 
 
 def structure_counts(s, d):
@@ -73,10 +75,13 @@ def concept_reachability(s, d):
 
 
 def concept_score_distribution(s, d):
-    return st.concept_score_distributions(
+    """(side, i, score): the i-th smallest number of occurrences of the headings that some clause has (``inside``), and of the others."""
+    both = st.concept_score_distributions(
         ix.delivered_postings(s, d).where("field = 'mh'").groupBy(F.lit("all").alias("topic"), F.col("term").alias("cui")).agg((-F.sum("tf")).alias("score")),
         _nodes(s, d).where("kind = 'kw' AND array_contains(fields, 'mesh_headings')").select(F.lit("all").alias("topic"), F.lower("query_string").alias("cui")),
     )
+    sides = F.inline(F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("scores")) for n in ("inside", "outside")]))
+    return both.select(sides).select("side", F.posexplode("scores").alias("i", "score"))
 
 
 def _rewritten(name):
@@ -181,6 +186,35 @@ def _rewrite_sql() -> dict[str, str]:
     return {f"rewrite_{n}": f"WITH {_printed()} SELECT hash, translate({text}, chr(1) || chr(2), '') AS query FROM k" for n, text in texts.items()}
 
 
+def _keyword_sql() -> dict[str, str]:
+    """Queries over the keywords of the printed clauses. Groups nest to the left, so a clause of n operators has its n groups first, from the outermost, and then its keywords in order."""
+    words = rf"""{_printed()}, w AS (SELECT hash, i, n, split_part(substr(x, 2), chr(2), 1) AS text, regexp_extract(x, '\[([^\]]*)\]', 1) AS fields, contains(x, chr(2) || '+') AS plus, contains(x, chr(2) || '*') OR contains(x, '+*') OR contains(x, '*' || chr(2)) AS cut
+  FROM (SELECT hash, unnest(l) AS x, unnest(range(len(l))) AS i, len(l) - 1 AS n FROM (SELECT hash, regexp_extract_all(q, '\x01[^\x02]*\x02[^ ()]*') AS l FROM k)))"""
+    ops = r"""o AS (SELECT hash, unnest(l) AS operator, len(l) - unnest(range(len(l))) - 1 AS node_id, len(l) AS n FROM (SELECT hash, list_transform(regexp_extract_all(q, ' (?:and|or|not|adj\d*) '), lambda x: trim(x)) AS l FROM k) WHERE len(l) > 0)"""
+    post = """p AS (SELECT term, pmid AS doc_id, max(tf) AS tf FROM postings WHERE term IS NOT NULL AND pmid IS NOT NULL AND field = 'mh' GROUP BY ALL)"""
+    cur = "cur AS (SELECT mh FROM (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY loaded_at DESC NULLS LAST, ti DESC NULLS LAST, ab DESC NULLS LAST, mh DESC NULLS LAST, dcom DESC NULLS LAST) AS r FROM medline WHERE pmid IS NOT NULL) WHERE r = 1)"
+    mesh = "contains(fields, 'mesh_headings')"
+    return {
+        "clause_nodes": f"""WITH {words}, {ops}
+SELECT hash, CAST(node_id AS INTEGER) AS node_id, CAST(CASE WHEN node_id > 0 THEN node_id - 1 ELSE -1 END AS INTEGER) AS parent_id, 0 AS ord, CAST(node_id AS INTEGER) AS depth, 'bool' AS kind, operator, NULL AS query_string, NULL AS fields, false AS exploded,
+       false AS truncated, CASE WHEN node_id > 0 THEN 1 ELSE -1 END AS top FROM o
+UNION ALL SELECT hash, n + i, CASE WHEN n > 0 THEN n - greatest(i, 1) ELSE -1 END, CASE WHEN i > 0 THEN 1 ELSE 0 END, CASE WHEN n > 0 THEN n + 1 - greatest(i, 1) ELSE 0 END, 'kw', NULL, text, fields, plus, cut,
+       CASE WHEN n = 0 THEN -1 WHEN i = n THEN 2 * n ELSE 1 END FROM w""",
+        "mesh_tree_depths": f"""WITH {words}, {cur}, t AS (SELECT h, min(len(string_split(replace(h, ' ', '.'), '.'))) AS d FROM (SELECT DISTINCT lower(unnest(mh)) AS h FROM cur) WHERE h IS NOT NULL GROUP BY h)
+SELECT k.hash, round(coalesce(avg(d), 0), 6) AS avg_depth, coalesce(max(d), 0) AS max_depth FROM k LEFT JOIN (SELECT hash, d FROM w JOIN t ON h = lower(replace(text, '*', '')) WHERE {mesh}) USING (hash) GROUP BY k.hash""",
+        "string_reachability": f"""WITH {words}, t AS (SELECT DISTINCT hash, topic FROM clauses WHERE hash IS NOT NULL AND topic IS NOT NULL),
+dd AS (SELECT trim(topic) AS topic, arg_min(text, doc_id) AS text FROM documents WHERE topic IS NOT NULL AND text IS NOT NULL GROUP BY ALL)
+SELECT topic, count(*) AS keywords, count(*) FILTER (x <> '' AND contains(lower(text_), x)) AS n_objective FROM (
+  SELECT topic, lower(replace(w.text, '*', '')) AS x, dd.text AS text_ FROM w JOIN t USING (hash) JOIN dd USING (topic)) GROUP BY topic""",
+        "concept_reachability": f"""WITH {words}, {cur}, q AS (SELECT DISTINCT lower(text) AS cui FROM w WHERE {mesh}),
+m AS (SELECT DISTINCT lower(trim(h)) AS cui FROM (SELECT unnest(mh) AS h FROM cur) WHERE h IS NOT NULL AND trim(h) <> '')
+SELECT 'all' AS topic, section, shared, n + (SELECT count(*) FROM q) - shared AS either, round(shared / (n + (SELECT count(*) FROM q) - shared), 6) AS ratio
+FROM (SELECT left(cui, 1) AS section, count(*) AS n, count(*) FILTER (cui IN (SELECT cui FROM q)) AS shared FROM m GROUP BY 1) WHERE (SELECT count(*) FROM q) > 0""",
+        "concept_score_distribution": f"""WITH {words}, {post}, q AS (SELECT DISTINCT lower(text) AS cui FROM w WHERE {mesh}), s AS (SELECT term, sum(tf) AS score, term IN (SELECT cui FROM q) AS inq FROM p GROUP BY term)
+SELECT CASE WHEN inq THEN 'inside' ELSE 'outside' END AS side, CAST(row_number() OVER (PARTITION BY inq ORDER BY score) - 1 AS INTEGER) AS i, score FROM s""",
+    }
+
+
 ORACLES = {
     "structure_counts": f"WITH {_C} SELECT hash, 1 + {_OPS} AS keywords, {_OPS} AS boolean_nodes, {_AND} + {_ADJ} AS and_clauses, {_OR} AS or_clauses, {_NOT} AS not_clauses, {_ADJ} AS adj_clauses, {_n('[*]')} AS truncated, {_WORDS} AS terms, {_MESH} AS mesh_exploded FROM c",
     "structure_counts_compat": f"WITH {_C} SELECT hash, 2 * {_OPS} - 1 AS boolean_nodes FROM c",
@@ -190,4 +224,4 @@ ORACLES = {
     "mesh_explosion_ratio": f"WITH {_C} SELECT hash, round(CASE WHEN {_MF} > 0 THEN {_MESH} / {_MF} ELSE 0 END, 6) AS ratio FROM c",
     "clause_variations": f"""WITH {_C}, v AS (SELECT hash, 0 AS transformation_id, {_AND} + {_OR} AS n FROM c UNION ALL SELECT hash, 1, 2 * {_ADJ} FROM c UNION ALL SELECT hash, 2, {_MESH} FROM c
 UNION ALL SELECT hash, 3, 2 * {_TITLE} FROM c UNION ALL SELECT hash, 4, {_ADJ} FROM c UNION ALL SELECT hash, 5, 2 * {_OPS} - {_TWINS} FROM c) SELECT * FROM v WHERE n > 0""",
-} | _rewrite_sql()
+} | _rewrite_sql() | _keyword_sql()

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators.formulation import split_order
 from ferrule.plans.boolean import matching
 from ferrule.plans.variations import Candidate, variations
 
@@ -51,7 +52,7 @@ def f1_scored(df: DataFrame) -> DataFrame:
 
 
 def random_choice(df: DataFrame, seed: int) -> DataFrame:
-    order = Window.partitionBy("topic").orderBy(F.xxhash64("candidate_id", F.lit(seed)), "candidate_id")
+    order = Window.partitionBy("topic").orderBy(split_order("candidate_id", seed), "candidate_id")
     return df.withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators.formulation import split_order
+
 KEY = ["topic"]
 
 
@@ -33,8 +35,8 @@ def stratified(df: DataFrame, delta: float, n: int, keys: list[str] = KEY) -> Da
 
 
 def random(df: DataFrame, delta: float, n: int, seed: int, keys: list[str] = KEY) -> DataFrame:
-    """As many as wanted in a seeded hash order: the same rows however the data is partitioned."""
-    return _numbered(wanted(df, delta, n, keys), keys, [F.xxhash64("candidate_id", F.lit(seed)), F.col("candidate_id")]).where("_i <= want").drop("_i", "_len", "want")
+    """As many as wanted in a seeded order that other engines can compute too: the same rows however the data is partitioned."""
+    return _numbered(wanted(df, delta, n, keys), keys, [split_order("candidate_id", seed), F.col("candidate_id")]).where("_i <= want").drop("_i", "_len", "want")
 
 
 def balanced_scored(df: DataFrame, n: int, keys: list[str] = KEY) -> DataFrame:
