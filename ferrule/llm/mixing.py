@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ferrule.llm.token_sizes import TOKENIZER, token_sizes
 from ferrule.tables import durable, table
 
-LANES, STRETCH = 256, 65_536
+#: Texts of one source, and slots, that a task numbers.
+LANE_TEXTS, STRETCH = 200_000, 65_536
 #: Turns by which a source can be behind its share of the slots.
 SPARE = 32
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -27,21 +28,22 @@ def targets_of(targets: DataFrame) -> list[tuple[str, float, int]]:
     return [(r.s, r.w / total, max(1, r.r if r.r is not None else 1)) for r in rows]
 
 
-def shuffled_texts(documents: DataFrame, sources: list[str], seed: int, tokenizer: str, lanes: int = LANES) -> DataFrame:
+def shuffled_texts(documents: DataFrame, sources: list[str], seed: int, tokenizer: str, lane_texts: int = LANE_TEXTS) -> DataFrame:
     """(source, start, doc_id, n_tokens): each source's distinct texts in a hashed order, with the tokens of the source before them.
 
     Of equal texts the one with the smallest doc_id stays, so
-    that no text can be used more often under another id. The order is by hash lane and hash; the lanes' token sums (sources x lanes
-    numbers) give each lane its first position, so that no task holds a source. The result is written to the checkpoint folder.
+    that no text can be used more often under another id; a source loses a text that another has under a smaller id. The order is by hash lane and hash; a source has
+    a lane for every ``lane_texts`` texts, and the lanes' token sums give each lane its first position, so that no task holds a source. The result is written to the checkpoint folder.
     """
     wanted = documents.select("doc_id", _source("source").alias("source"), "text").where(F.col("source").isin(sources) & F.col("doc_id").isNotNull() & (F.col("text") != ""))
     sized = token_sizes(wanted.withColumn("print", F.sha2("text", 256)), ["doc_id", "source", "print"], "text", tokenizer)
-    once = sized.groupBy("print").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("kept")).select("kept.*").where("n_tokens > 0")
-    hashed = durable(once.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("lane", F.pmod("h", F.lit(lanes)).cast("int")))
+    once = durable(sized.groupBy("print").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("kept")).select("kept.*").where("n_tokens > 0"))
+    lanes = once.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / lane_texts).alias("lanes"))
+    hashed = once.join(F.broadcast(lanes), "source").withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("lane", F.pmod("h", F.col("lanes")).cast("int"))  # one row a source of the targets
     sums = hashed.groupBy("source", "lane").agg(F.sum("n_tokens").alias("t"))
     starts = sums.select("source", "lane", (F.sum("t").over(Window.partitionBy("source").orderBy("lane")) - F.col("t")).alias("start"))
     within = F.sum("n_tokens").over(Window.partitionBy("source", "lane").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    position = hashed.withColumn("end", within).join(F.broadcast(starts), ["source", "lane"])  # sources of the targets x lanes
+    position = hashed.withColumn("end", within).join(starts, ["source", "lane"])
     return position.select("source", (F.col("start") + F.col("end") - F.col("n_tokens")).alias("start"), "doc_id", "n_tokens")
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from ferrule.llm.token_sizes import TOKENIZER, token_sizes
 from ferrule.tables import durable, table
 
-#: Parts in which the items of one size are numbered independently of each other.
-LANES = 64
+#: Items of one size that a task numbers: a size has as many lanes, numbered independently of each other, as its items need.
+LANE_ITEMS = 200_000
 
 PLAN = T.StructType([
     T.StructField("pack_id", T.IntegerType()), T.StructField("size", T.LongType()), T.StructField("low", T.LongType()),
@@ -79,12 +79,12 @@ def pieces(sized: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     return parts.select("pack_id", "capacity", key, "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.col("capacity")).alias("size"))
 
 
-def packed(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, lanes: int = LANES) -> DataFrame:
+def packed(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, lane_items: int = LANE_ITEMS) -> DataFrame:
     """(pack_id, container_id, key, piece, start, n_tokens): every text in one container per capacity; longer ones in pieces of full capacity and a rest.
 
     The tokens are counted once and the sizes written to the checkpoint folder. Items are sorted into runs of equal size, ordered within a
-    run by a hash lane and key, and so ranked without a single task ever holding a run: the counts of the lanes before give
-    each lane its first rank. ``best_fit_plan`` works on the counts of the runs. Each item then finds its
+    run by a hash lane and key, and so ranked without a single task ever holding a run: a run has a lane for every ``lane_items`` items, and the counts of the
+    lanes before give each lane its first rank. ``best_fit_plan`` works on the counts of the runs. Each item then finds its
     container by joining its size and rank with the plan, whose size the capacities bound. A text of 0 tokens (null or
     empty) is kept with a null container: it needs none. Rows repeated in the table are packed as often as they occur. A
     limit that is null or below 1 is ignored.
@@ -94,16 +94,17 @@ def packed(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: s
     sized = durable(token_sizes(documents, [key], text, tokenizer))
     parts = pieces(sized, bounds, key)
     empty = parts.where("size = 0").select("pack_id", F.lit(None).cast("long").alias("container_id"), key, "piece", "start", F.col("size").alias("n_tokens"))
-    items = parts.where("size > 0").withColumn("lane", F.pmod(F.xxhash64(key, "piece"), F.lit(lanes)).cast("int"))
-    counted = durable(items.groupBy("pack_id", "capacity", "size", "lane").agg(F.count(F.lit(1)).alias("n")))
+    items = parts.where("size > 0")
     counts: dict = defaultdict(dict)
-    for row in counted.groupBy("pack_id", "capacity", "size").agg(F.sum("n").alias("n")).collect():  # at most the capacity's number of rows for each limit
+    for row in items.groupBy("pack_id", "capacity", "size").agg(F.count(F.lit(1)).alias("n")).collect():  # at most the capacity's number of rows for each limit
         counts[row.pack_id, row.capacity][row["size"]] = row.n
     plan = [(pack, *step) for (pack, capacity), run in counts.items() for step in best_fit_plan(run, capacity)]
+    lanes = spark.createDataFrame([(pack, size, -(-n // lane_items)) for (pack, _), run in counts.items() for size, n in run.items()], "pack_id int, size long, lanes int")
+    laned = items.join(F.broadcast(lanes), ["pack_id", "size"]).withColumn("lane", F.pmod(F.xxhash64(key, "piece"), F.col("lanes")).cast("int"))  # as many rows as counted
     before = Window.partitionBy("pack_id", "size").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("pack_id", "size", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = laned.where("lanes > 1").groupBy("pack_id", "size", "lane").agg(F.count(F.lit(1)).alias("n")).select("pack_id", "size", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     order = Window.partitionBy("pack_id", "size", "lane").orderBy(key, "piece")
-    ranked = items.withColumn("rank", F.row_number().over(order) - 1).join(offsets, ["pack_id", "size", "lane"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    ranked = laned.withColumn("rank", F.row_number().over(order) - 1).join(offsets, ["pack_id", "size", "lane"], "left").withColumn("rank", F.col("rank") + F.coalesce("offset", F.lit(0)))
     placed = ranked.join(F.broadcast(spark.createDataFrame(plan, PLAN)), ["pack_id", "size"]).where("rank >= low AND rank < high")
     container = F.col("container") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))
     return placed.select("pack_id", container.cast("long").alias("container_id"), key, "piece", "start", F.col("size").alias("n_tokens")).unionByName(empty)

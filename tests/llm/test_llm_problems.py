@@ -48,6 +48,23 @@ def test_terms_latest_row_counts(spark):
     assert term_counts.marked_terms(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize(("held", "part"), [(10**6, 10**6), (20, 50)])
+def test_terms_under_dense_and_thin_prefixes(spark, held, part):
+    """Tries that are sent on early, and prefixes that are cut further, count as one pass over all rows does."""
+    rng = random.Random(12)
+    words = [f"dense{i}" for i in range(300)] + ["d", "dense", "ü", "日本語", "x" * 4000, "x" * 4000 + "y", "-1"] + ["".join(rng.choices("ab", k=30)) for _ in range(40)]
+    data = [(pmid, "ti", w, float(rng.randint(1, 3)), None, T0, None, None) for pmid in range(60) for w in rng.sample(words, 40)]
+    want = {}
+    for _, _, w, tf, *_ in data:
+        n, k = want.get(w, (0.0, 0))
+        want[w] = (n + tf, k + 1)
+    df = spark.createDataFrame(data, VECTORS).repartition(5)
+    got = term_counts.term_counts(df, burst=4, held_terms=held, entries_a_part=part).collect()
+    assert {r.term: (r.occurrences, r.records) for r in got} == want and len(got) == len(want)
+    heavy = term_counts.routing_prefixes(term_counts.term_counts(df), 4)
+    assert "dens" in heavy and "ü" not in heavy
+
+
 # 2
 
 
@@ -245,12 +262,13 @@ def documents(spark, texts):
 LIMITS = "pack_id int, capacity_tokens int"
 
 
-def test_packing_holds_every_token_once(spark):
+@pytest.mark.parametrize("lanes", [10**6, 7])
+def test_packing_holds_every_token_once(spark, lanes):
     rng = random.Random(7)
     texts = [(i, " ".join(["word"] * rng.randint(1, 70))) for i in range(300)] + [(300, None), (301, ""), (302, "long " * 500), (None, "alone here"), (303, "same"), (303, "same")]
     limits = spark.createDataFrame([(1, 32), (2, 100), (3, 1), (None, 5), (4, 0), (5, None)], LIMITS)
     df = documents(spark, texts)
-    got = packing.packed(df, limits).collect()
+    got = packing.packed(df, limits, lane_items=lanes).collect()
     tokenizer = token_sizes.encoding(token_sizes.TOKENIZER)
     sizes = Counter()
     for i, t in texts:
