@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrule.catalog.evaluation import _r
+from ferrule.catalog.saved import postings
 from ferrule.catalog.sql import CUR, POST
 from ferrule.operators import formulation as fo
 from ferrule.operators import index as ix
 from ferrule.plans.ast import to_json
-from ferrule.plans.boolean import matching
-from ferrule.tables import table
+from ferrule.tables import table, written
 
 HEADINGS = ["hypertension", "anxiety", "sepsis"]
 
 
 def _judged(s, d):
-    rows = ix.delivered_postings(s, d).where(F.col("field").eqNullSafe("mh") & F.col("term").isin(HEADINGS))
+    rows = postings(s, d).where(F.col("field").eqNullSafe("mh") & F.col("term").isin(HEADINGS))
     return rows.select(F.col("term").alias("topic"), "doc_id").distinct()
 
 
 def _terms(s, d):
-    return ix.delivered_postings(s, d).where("field IN ('ti', 'ab')").select("doc_id", "term").distinct()
+    return postings(s, d).where("field IN ('ti', 'ab')").select("doc_id", "term").distinct()
 
 
 def _dev(s, d):
@@ -73,18 +73,35 @@ def id3_query(s, d):
     return s.createDataFrame([(None if query is None else to_json(query),)], "query string")
 
 
-def objective_query(s, d):
-    """(topic, doc_id, query): the documents of the formulated queries, per heading: ``terms``, and ``headings`` for the terms with headings."""
-    postings, docs, terms = ix.delivered_postings(s, d).persist(), ix.medline_documents(s, d).persist(), _terms(s, d).persist()
-    judged = _judged(s, d).persist()
+def _objective(s, d):
+    """The keywords of the formulated queries, per heading: ``terms``, and ``headings`` for the terms with headings."""
+    held, docs, terms, judged = postings(s, d), written(ix.medline_documents(s, d).select("doc_id", "mh")), written(_terms(s, d)), written(_judged(s, d))
     made = {}
     for h in HEADINGS:
-        found = fo.ObjectiveFormulator().formulate(s, judged.where(F.col("topic") == h), docs, terms, postings)
-        made |= {f"{h}/{how}": node for how, node in zip(("terms", "headings"), found) if node is not None}
-    hits, name = matching(made, postings), F.split("topic", "/")
+        found = fo.ObjectiveFormulator().choose(s, judged.where(F.col("topic") == h), docs, terms, held)
+        made |= {f"{h}/{how}": groups for how, groups in zip(("terms", "headings"), found) if groups}
+    return judged, held, made
+
+
+def objective_query(s, d):
+    """(topic, doc_id, query): the documents of the formulated queries."""
+    _, held, made = _objective(s, d)
+    hits, name = fo.category_hits(made, held), F.split("topic", "/")
     return hits.select(name[0].alias("topic"), "doc_id", name[1].alias("query"))
 
 
+def objective_evaluation(s, d):
+    """(topic, part, query, name, value): the formulated queries on the development, validation and unseen documents."""
+    judged, held, made = _objective(s, d)
+    out = None
+    for h in HEADINGS:
+        mine = {k.split("/")[1]: q for k, q in made.items() if k.startswith(f"{h}/")}
+        if mine:
+            per = fo.objective_measures(fo.split(judged.where(F.col("topic") == h)), mine, held).select(F.lit(h).alias("topic"), "part", "query", "name", F.round("value", 6).alias("value"))
+            out = per if out is None else out.unionByName(per)
+    return out if out is not None else s.createDataFrame([], "topic string, part string, query string, name string, value double")
+
+
 def top_mesh(s, d):
     docs = ix.medline_documents(s, d)
     return fo.top_headings(_judged(s, d).join(docs.select("doc_id", "mh"), "doc_id"), 5, ["humans", "male", "female", "adult", "aged", "child"])
@@ -92,7 +109,7 @@ def top_mesh(s, d):
 
 def unique_coverage_terms(s, d):
     """Terms of two categories, the first half of the alphabet and the second, within titles of the collection."""
-    t = ix.delivered_postings(s, d).where("field = 'ti'").select(F.when(F.col("term") < "m", "a").otherwise("b").alias("category"), "term", "doc_id")
+    t = postings(s, d).where("field = 'ti'").select(F.when(F.col("term") < "m", "a").otherwise("b").alias("category"), "term", "doc_id")
     return fo.unique_coverage(t)
 
 
@@ -112,7 +129,7 @@ def relevance_feedback(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    split_50_25_25, term_doc_freq, cut_dev_terms, cut_population, ranked_terms, info_gain, id3_query, objective_query, top_mesh, unique_coverage_terms, embedding_knn, embedding_centroid, relevance_feedback,
+    split_50_25_25, term_doc_freq, cut_dev_terms, cut_population, ranked_terms, info_gain, id3_query, objective_query, objective_evaluation, top_mesh, unique_coverage_terms, embedding_knn, embedding_centroid, relevance_feedback,
 )}
 _J = f"""{POST}, j AS (SELECT DISTINCT term AS topic, doc_id FROM p WHERE field = 'mh' AND term IN ('hypertension', 'anxiety', 'sepsis')),
 i AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ((doc_id % 1000003) * 7919 + 1000 * 104729) % 1000003, doc_id) - 1 AS i, count(*) OVER (PARTITION BY topic) AS n FROM j),

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators.evaluate import evaluate, registry
 from ferrule.plans.ast import ABSTRACT, MESH, TITLE, Boolean, Keyword, Node
-from ferrule.plans.boolean import matching
-from ferrule.tables import durable
+from ferrule.plans.boolean import index_fields
+from ferrule.tables import durable, written
 
 
 def split_order(doc_id: Column | str = "doc_id", seed: int = 1000) -> Column:
@@ -209,18 +210,19 @@ def classify(terms: DataFrame, types: DataFrame) -> DataFrame:
     return terms.join(types, "term", "left").withColumn("category", F.when(t.isin(conditions), "condition").when(t.isin(treatments), "treatment").when(t.isin(studies), "study_type").otherwise("other")).drop("semantic_type")
 
 
-def unique_coverage(term_docs: DataFrame) -> DataFrame:
-    """(category, term, unique_docs): how many documents of the joint coverage only this term of its category reaches.
+def unique_coverage(term_docs: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, category, term, unique_docs): how many documents of the joint coverage only this term of its category reaches.
 
-    ``term_docs`` is (category, term, doc_id). The joint coverage is the documents that every category reaches; a term with
+    ``term_docs`` is (keys, category, term, doc_id). The joint coverage is the documents that every category reaches; a term with
     0 can be left out without changing it.
     """
-    rows = term_docs.distinct()
-    categories = rows.agg(F.count_distinct("category").alias("all"))
-    joint = rows.groupBy("doc_id").agg(F.count_distinct("category").alias("c")).crossJoin(F.broadcast(categories)).where("c = all").select("doc_id")
-    hits = rows.join(joint, "doc_id", "left_semi")
-    only = hits.groupBy("category", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("term").alias("term")).where("k = 1").groupBy("category", "term").agg(F.count(F.lit(1)).alias("u"))
-    return rows.select("category", "term").distinct().join(only, ["category", "term"], "left").select("category", "term", F.coalesce("u", F.lit(0)).alias("unique_docs"))
+    rows = term_docs.select(*keys, "category", "term", "doc_id").distinct()
+    reached = rows.groupBy(*keys, "doc_id").agg(F.count_distinct("category").alias("c"))
+    categories = rows.groupBy(*keys).agg(F.count_distinct("category").alias("all"))
+    full = reached.join(categories, keys) if keys else reached.crossJoin(F.broadcast(categories))  # one row
+    hits = rows.join(full.where("c = all").select(*keys, "doc_id"), [*keys, "doc_id"], "left_semi")
+    only = hits.groupBy(*keys, "category", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("term").alias("term")).where("k = 1").groupBy(*keys, "category", "term").agg(F.count(F.lit(1)).alias("u"))
+    return rows.select(*keys, "category", "term").distinct().join(only, [*keys, "category", "term"], "left").select(*keys, "category", "term", F.coalesce("u", F.lit(0)).alias("unique_docs"))
 
 
 def map_concepts(terms: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -245,19 +247,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block: int = 256) -> DataFrame:
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block: int = 1024, part_rows: int = 20_000) -> DataFrame:
     """(query_id, vec_id, similarity): the k nearest vectors by cosine of each query vector, itself left out; ties by id.
 
-    The stated queries meet all vectors in blocks: each task multiplies a batch of vectors with a block of at most
-    ``block`` queries and sends on its k best per query. Null or empty vectors and zero vectors have similarity 0.
+    The stated queries meet all vectors in blocks: each group multiplies about ``part_rows`` vectors with a block of about
+    ``block`` queries and sends on its k best per query; the numbers of blocks and parts follow the two counts. Null or empty vectors and zero vectors have similarity 0.
     """
     import numpy as np
     import pandas as pd
 
-    n = max(1, -(-queries.count() // block))
+    n, parts = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // part_rows))
     q = queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("b")).where("qe IS NOT NULL AND size(qe) > 0")
     blocks = q.groupBy("b").agg(F.collect_list(F.struct("qid", "qe")).alias("qs"))
-    spread = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"), F.pmod(F.hash("vec_id"), F.lit(64)).alias("p"))
+    spread = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"), F.pmod(F.hash("vec_id"), F.lit(parts)).alias("p"))
 
     def unit(rows) -> np.ndarray:
         x = np.array([np.asarray(r, dtype=np.float64) for r in rows])
@@ -276,7 +278,7 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, least: float
                 out += [(row["qid"], int(ids[i]), float(s[i])) for i in best if s[i] > -np.inf]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "similarity"]).astype({"query_id": "int64", "vec_id": "int64", "similarity": "float64"})
 
-    copies = blocks.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    copies = blocks.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     part = spread.groupBy("b", "p").cogroup(copies.groupBy("b", "p")).applyInPandas(multiply, "query_id long, vec_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return part.where(F.col("similarity") > least).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= k).drop("_i")
@@ -361,11 +363,41 @@ def tree_to_query(tree: tuple) -> Node | None:
     return None if not parts else parts[0] if len(parts) == 1 else Boolean("or" if joined else "and", tuple(parts))
 
 
+#: The category of all terms where no dimension of semantic types tells them apart.
+ANY = "any"
+#: The measures of a formulated query.
+OBJECTIVE_MEASURES = ("num_rel", "num_ret", "num_rel_ret", "recall", "precision", "f1", "f0.5", "f3", "nnr")
+
+
+Groups = dict[str, list[Keyword]]
+
+
+def category_hits(queries: dict[str, Groups], postings: DataFrame) -> DataFrame:
+    """(topic, doc_id): what ``category_query`` of each of many groups of single terms and headings retrieves.
+
+    A join of the postings with the queries' terms and two counts: the plan is the same for any number of queries and terms.
+    """
+    spark = postings.sparkSession
+    rows = [(name, c, k.text.lower(), f) for name, groups in queries.items() for c, ks in groups.items() for k in ks for f in index_fields(k)]
+    wanted = spark.createDataFrame(sorted(set(rows)), "topic string, category string, term string, field string") if rows else spark.createDataFrame([], "topic string, category string, term string, field string")
+    needed = spark.createDataFrame([(name, sum(bool(ks) for ks in groups.values())) for name, groups in queries.items()], "topic string, needed long")
+    reached = postings.select("doc_id", "term", "field").join(wanted, ["term", "field"]).groupBy("topic", "doc_id").agg(F.count_distinct("category").alias("reached"))
+    return reached.join(F.broadcast(needed), "topic").where("reached = needed").select("topic", "doc_id")  # one row a query
+
+
+def category_query(groups: Groups) -> Node | None:
+    """The conjunction over categories of the disjunction of each one's keywords; categories without keywords are left out."""
+    parts = [Boolean("or", tuple(ks)) for _, ks in sorted(groups.items()) if ks]
+    return None if not parts else parts[0] if len(parts) == 1 else Boolean("and", tuple(parts))
+
+
 @dataclass(frozen=True)
 class ObjectiveFormulator:
     """Queries from judged documents: cut-offs on development and population frequency are tried and the terms best on validation are kept.
 
-    Then numbers of the most frequent headings are added to these terms, and the best on validation is kept again.
+    Terms are sorted into conditions, treatments and study types by their semantic types where these are given, others are dropped, and so are
+    terms that no document of the joint coverage needs; the query is the conjunction of the categories. Without types all terms are one category.
+    Then numbers of the most frequent headings are added to these terms, to every category that has any, and the best on validation is kept again.
     """
 
     dev_cuts: tuple[float, ...] = (0.15, 0.20, 0.25, 0.30)
@@ -375,34 +407,69 @@ class ObjectiveFormulator:
     seed: int = 1000
     trace: list = field(default_factory=list, compare=False)
 
-    def formulate(self, spark: SparkSession, judged: DataFrame, docs: DataFrame, terms: DataFrame, postings: DataFrame) -> tuple[Node | None, Node | None]:
-        """The query of terms, and that of the same terms with headings.
+    def formulate(self, spark: SparkSession, judged: DataFrame, docs: DataFrame, terms: DataFrame, postings: DataFrame, types: DataFrame | None = None) -> tuple[Node | None, Node | None]:
+        """The query of terms, and that of the same terms with headings."""
+        return tuple(category_query(groups) for groups in self.choose(spark, judged, docs, terms, postings, types))
+
+    def choose(self, spark: SparkSession, judged: DataFrame, docs: DataFrame, terms: DataFrame, postings: DataFrame, types: DataFrame | None = None) -> tuple[Groups, Groups]:
+        """The keywords of both queries by category.
 
-        ``judged`` (topic, doc_id) are the relevant documents of one topic, ``terms`` (doc_id, term) of the collection, ``postings`` its index.
+        ``judged`` (topic, doc_id) are the relevant documents of one topic, ``terms`` (doc_id, term) of the collection, ``postings`` its index,
+        ``types`` (term, semantic_type) a vocabulary.
         """
-        parts = split(judged, self.seed).persist()
+        parts = written(split(judged, self.seed))
         dev, val = parts.where("part = 'dev'"), parts.where("part = 'val'").select("doc_id")
         size = dev.groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
-        freq = document_frequencies(dev.join(terms, "doc_id").select("topic", "doc_id", "term"))
+        dev_terms = written(dev.join(terms, "doc_id").select("topic", "doc_id", "term"))
+        freq = document_frequencies(dev_terms)
         population = terms.groupBy("term").agg(F.count_distinct("doc_id").alias("pop_df"))
         n_dev, n_docs = dev.count(), docs.count()
         # Terms in a share of the development documents: no more than a document's terms divided by the share.
-        widest = cut_population(cut_development(freq, size, min(self.dev_cuts)), population, docs.agg(F.count(F.lit(1)).alias("pop_size")), max(self.pop_cuts)).orderBy(F.col("df").desc(), "term").collect()
-        cells = {f"{d}/{p}": [Keyword(r.term) for r in widest if r.df >= d * n_dev and r.pop_df <= p * n_docs] for d in self.dev_cuts for p in self.pop_cuts}
-        found = self._best(cells, val, postings)
+        widest = cut_population(cut_development(freq, size, min(self.dev_cuts)), population, docs.agg(F.count(F.lit(1)).alias("pop_size")), max(self.pop_cuts))
+        sorted_terms = widest.withColumn("category", F.lit(ANY)) if types is None else classify(widest, types).where("category <> 'other'")
+        rows = sorted_terms.orderBy(F.col("df").desc(), "term", "category").collect()
+        cells = {f"{d}/{p}": [r for r in rows if r.df >= d * n_dev and r.pop_df <= p * n_docs] for d in self.dev_cuts for p in self.pop_cuts}
+        if types is not None:
+            cells = self._needed(spark, cells, dev_terms)
+        options = {name: self._groups(held) for name, held in cells.items()}
+        found = self._best(options, val, postings)
         headings = [Keyword(r.heading, (MESH,), True) for r in top_headings(dev.join(docs.select("doc_id", "mh"), "doc_id"), max(self.mesh_counts), list(self.rejected_headings)).orderBy(F.col("df").desc(), "heading").collect()]
-        widened = self._best({f"mesh {k}": [*found, *headings[:k]] for k in self.mesh_counts}, val, postings)
-        parts.unpersist()
-        return tuple(Boolean("or", tuple(k)) if k else None for k in (found, widened))
-
-    def _best(self, options: dict[str, list[Keyword]], val: DataFrame, postings: DataFrame) -> list[Keyword]:
-        """The keywords of the option whose disjunction has the best F1 on the validation documents, of equal ones the first."""
-        options = {name: ks for name, ks in options.items() if ks}
+        widened = self._best({f"mesh {k}": {c: [*ks, *headings[:k]] for c, ks in (found or {ANY: []}).items()} for k in self.mesh_counts}, val, postings)
+        return found, widened
+
+    @staticmethod
+    def _groups(rows: list) -> Groups:
+        out: Groups = {}
+        for r in rows:
+            out.setdefault(r.category, []).append(Keyword(r.term))
+        return out
+
+    @staticmethod
+    def _needed(spark: SparkSession, cells: dict[str, list], dev_terms: DataFrame) -> dict[str, list]:
+        """The cells without the terms that none of the development documents in their joint coverage needs, all cells in one plan."""
+        listed = [(name, r.category, r.term) for name, held in cells.items() for r in held]
+        if not listed:
+            return cells
+        held = dev_terms.join(spark.createDataFrame(listed, "cell string, category string, term string"), "term").select("cell", "category", "term", "doc_id")
+        keep = {(r.cell, r.category, r.term) for r in unique_coverage(held, ["cell"]).where("unique_docs > 0").collect()}
+        return {name: [r for r in rows if (name, r.category, r.term) in keep] for name, rows in cells.items()}
+
+    def _best(self, options: dict[str, Groups], val: DataFrame, postings: DataFrame) -> Groups:
+        """The keywords of the option whose query has the best F1 on the validation documents, of equal ones the first."""
+        options = {name: groups for name, groups in options.items() if any(groups.values())}
         if not options:
-            return []
-        hits = matching({name: Boolean("or", tuple(ks)) for name, ks in options.items()}, postings)
+            return {}
         n_val = val.count()
-        flagged = hits.join(val.withColumn("rel", F.lit(1)), "doc_id", "left").groupBy("topic").agg(F.count(F.lit(1)).alias("ret"), F.count("rel").alias("rel_ret"))
+        flagged = category_hits(options, postings).join(val.withColumn("rel", F.lit(1)), "doc_id", "left").groupBy("topic").agg(F.count(F.lit(1)).alias("ret"), F.count("rel").alias("rel_ret"))
         scores = {r.topic: 2 * r.rel_ret / (r.ret + n_val) for r in flagged.collect()}  # one row per tried query
         self.trace.extend((name, round(scores.get(name, 0.0), 6)) for name in options)
         return options[max(options, key=lambda name: scores.get(name, 0.0))]
+
+
+def objective_measures(parts: DataFrame, queries: dict[str, Groups], postings: DataFrame) -> DataFrame:
+    """(part, query, name, value): the nine measures of each query against the documents of each part (``parts``: part, doc_id), all in one pass."""
+    qrels = parts.select(F.col("part").alias("topic"), "doc_id", F.lit(1).alias("grade"))
+    hits = category_hits(queries, postings).select(F.col("topic").alias("run_name"), "doc_id", F.explode(F.array(*map(F.lit, ("dev", "val", "unseen")))).alias("topic"))
+    known = registry(1)
+    run = hits.withColumns({"score": F.lit(0.0), "rn": F.col("doc_id")})
+    return evaluate(run, qrels, {n: known[n] for n in OBJECTIVE_MEASURES}).select(F.col("topic").alias("part"), F.col("run_name").alias("query"), "name", "value")
