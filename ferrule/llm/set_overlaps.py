@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.tables import table
+from ferrule.tables import table, written
 
 CHUNK = 32
 
@@ -29,7 +29,7 @@ def signatures(members: DataFrame, set_id: str = "hash", element: str = "pmid")
 def overlaps(members: DataFrame, set_id: str = "hash", element: str = "pmid", chunk: int = CHUNK) -> DataFrame:
     """(a, b, shared, size_a, size_b), a < b: the exact overlap of every two sets that share an element.
 
-    Elements collapse to their signature first, so a pair is written once per distinct signature, with its count as
+    Elements collapse to their signature first, and the signatures, which are read three times, are written once. So a pair is written once per distinct signature, with its count as
     weight, and never once per element; the sums are combined before the shuffle. A long signature (an element of very
     many sets) is cut into chunks whose pairings are spread over all tasks. Sets without a shared element give no row:
     their overlap is 0. An empty table gives no rows.
@@ -56,7 +56,7 @@ def overlaps(members: DataFrame, set_id: str = "hash", element: str = "pmid", ch
         shared AS (SELECT a, b, sum(n) AS shared FROM pairs GROUP BY a, b)
         SELECT a, b, shared, x.size AS size_a, y.size AS size_b
         FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b""",
-        sigs=signatures(members, set_id, element),
+        sigs=written(signatures(members, set_id, element)),
     )
 
 
