@@ -264,3 +264,114 @@ def test_titles_once(spark, docs):
     more = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
     kept = ev.deduplicate_titles(twice, more)
     assert kept.where("doc_id IN (1060, 1061)").count() == 2 and kept.where("doc_id = 1062").count() == 0
+
+
+def test_fusion_plan_does_not_double_with_depth(spark):
+    from ferrule.plans.ast import ABSTRACT, TITLE, Boolean, Keyword
+
+    postings = spark.createDataFrame([(w, f, i, float(1 + (i + j) % 3), 1.0) for i in range(12) for j, w in enumerate("abcdefg") for f in ("ti", "ab") if (i * 7 + j) % 3], "term string, field string, doc_id long, tf double, pos double")
+    docs = postings.select("doc_id").distinct().withColumn("dcom", F.lit(None).cast("date"))
+
+    def chain(depth):
+        node = Keyword("a", (TITLE, ABSTRACT))
+        for i in range(depth):
+            node = Boolean("and" if i % 2 else "or", (node, Keyword("bcdefg"[i], (TITLE, ABSTRACT))))
+        return node
+
+    def brute(node, leaf):
+        if isinstance(node, Keyword):
+            return leaf[node.text]
+        lists = [brute(c, leaf) for c in node.children]
+        out = {}
+        for d in set().union(*lists):
+            there = [x[d] for x in lists if d in x]
+            out[d] = sum(there) * (1 if node.operator == "and" else sum(v > 0 for v in there))
+        return out
+
+    scorers = ("bm25", "pos")
+    leaf = {w: {} for w in "abcdefg"}
+    for r in fu.fuse_tree({w: Keyword(w, (TITLE, ABSTRACT)) for w in leaf}, sc.Collection(postings, docs), scorers).collect():
+        leaf[r.topic][r.doc_id] = r.score
+    exchanges = set()
+    for depth in (1, 3, 6):
+        df = fu.fuse_tree({"t": chain(depth)}, sc.Collection(postings, docs), scorers)
+        assert {r.doc_id: round(r.score, 6) for r in df.collect()} == {d: round(v, 6) for d, v in brute(chain(depth), leaf).items()}
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        exchanges.add((plan.count("Scan parquet"), plan.count("Join") - depth))
+    assert len(exchanges) == 1
+
+
+def test_saved_collection_scores_alike(spark, tmp_path):
+    from ferrule.operators import index as ix
+
+    postings = spark.createDataFrame([(w, f, i, float(1 + (i + j) % 4), 1.0 + j / 10) for i in range(30) for j, w in enumerate(["x", "y", "z"]) for f in ("ti", "ab", "mh") if (i + j) % 4], "term string, field string, doc_id long, tf double, pos double")
+    docs = postings.select("doc_id").distinct().withColumn("dcom", F.lit("2020-01-02").cast("date"))
+    terms = spark.createDataFrame([("q", "x"), ("q", "unseen"), ("r", "y"), ("r", "z")], "topic string, term string")
+    ix.save_index(postings, f"{tmp_path}/index")
+    for name, scorer in sc.SCORERS.items():
+        plain, saved = (sorted((r.topic, r.doc_id, round(r.score, 9)) for r in scorer(c, terms, ["ti", "ab"]).collect()) for c in (sc.Collection(postings, docs), sc.Collection.saved(spark, f"{tmp_path}/index", docs)))
+        assert plain == saved and plain, name
+    ix.save_index(postings.limit(0), f"{tmp_path}/none")
+    assert sc.bm25(sc.Collection.saved(spark, f"{tmp_path}/none"), terms, ["ti"]).count() == 0
+
+
+def test_residual_and_likelihood_of_ranked_measures(spark):
+    """Against scores computed from judgements that are extended first."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    run = {t: rng.sample(range(40), 25) for t in "ab"}
+    qrels = {"a": {d: rng.choice([0, 0, 1, 2, 3]) for d in range(20)}, "b": {d: rng.choice([0, 1, 1]) for d in range(12)}}
+    long = spark.createDataFrame([(t, "r", d, 1.0, i + 1) for t, ds in run.items() for i, d in enumerate(ds)], "topic string, run_name string, doc_id long, score double, rn long")
+    judged = spark.createDataFrame([(t, d, g) for t, q in qrels.items() for d, g in q.items()], "topic string, doc_id long, grade int")
+    known, names = ev.registry(100), ("ap", "p@10", "recall@100", "precision", "nnr", "ndcg@5", "ndcg@100")
+    got = {(r.topic, r.name): r.value for r in ev.evaluate(long, judged, {n + v: known[n + v] for n in names for v in ev.VARIANTS}).collect()}
+    for t, ds in run.items():
+        likely = (sum(g > 0 for g in qrels[t].values()) + 1) // (sum(g <= 0 for g in qrels[t].values()) + 1)
+        new = [d for d in ds if d not in qrels[t]]
+        for v, added in (("", []), ("_res", new), ("_mle", new[:likely])):
+            q = qrels[t] | {d: 1 for d in added}
+            rel = sum(g > 0 for g in q.values())
+            hits = [q.get(d, 0) > 0 for d in ds]
+            dcg = lambda gs, k: sum(g / math.log2(i + 2) for i, g in enumerate(gs[:k]))
+            want = {
+                "ap": sum(sum(hits[: i + 1]) / (i + 1) for i, h in enumerate(hits) if h) / rel, "p@10": sum(hits[:10]) / 10, "recall@100": sum(hits) / rel, "precision": sum(hits) / len(ds), "nnr": (len(ds) + 1) / (sum(hits) + 1),
+                "ndcg@5": dcg([q.get(d, 0) for d in ds], 5) / dcg(sorted(q.values(), reverse=True), 5), "ndcg@100": dcg([q.get(d, 0) for d in ds], 100) / dcg(sorted(q.values(), reverse=True), 100),
+            }
+            for name, value in want.items():
+                assert abs(got[t, name + v] - value) < 1e-9, (t, name + v)
+
+
+def test_categories_are_joined_by_and(spark):
+    """Conditions and treatments from semantic types; a term of another type is dropped, and so are two terms of a category that reach the same documents."""
+    judged = spark.createDataFrame([("t", i) for i in range(16)], "topic string, doc_id long")
+    part = {r.doc_id: r.part for r in fo.split(judged).collect()}
+    held = [("flu", i) for i in part] + [("drug", i) for i in part] + [("pill", i) for i in part if part[i] == "dev"] + [("study", i) for i in part] + [("flu", i) for i in range(100, 110)]
+    docs = spark.createDataFrame([(i, ["head"] if i in part else []) for i in range(2000)], "doc_id long, mh array<string>")
+    postings = spark.createDataFrame([(t, "ti", i) for t, i in held], "term string, field string, doc_id long")
+    types = spark.createDataFrame([("flu", "dsyn"), ("drug", "phsu"), ("pill", "phsu"), ("study", "zzzz")], "term string, semantic_type string")
+    terms = postings.select("doc_id", "term")
+    found, _ = fo.ObjectiveFormulator(pop_cuts=(0.02,)).choose(spark, judged, docs, terms, postings, types)
+    assert {c: [k.text for k in ks] for c, ks in found.items()} == {"condition": ["flu"]}
+    two = {"q": {"condition": found["condition"], "treatment": [fo.Keyword("drug")]}}
+    assert {r.doc_id for r in fo.category_hits(two, postings).collect()} == set(part)
+    measured = {(r.part, r.name): r.value for r in fo.objective_measures(fo.split(judged), two, postings).collect()}
+    assert measured["dev", "recall"] == measured["unseen", "recall"] == 1.0 and measured["val", "num_ret"] == 16 and len(measured) == 27
+
+
+def test_filters_and_suffixes_are_whole():
+    from ferrule.functions import text as tx
+    from ferrule.plans import rewrites as rw
+    from ferrule.plans.parsers import parse_expression
+
+    assert len(tx.NOUN_SUFFIXES + tx.VERB_SUFFIXES + tx.ADJECTIVE_SUFFIXES) == 53
+    q = parse_expression("(a.ti,ab. or b.ti,ab.)")
+    assert str(rw.rct_filter(q)).startswith("((a[title,abstract] or b[title,abstract]) and (Randomized Controlled Trials As Topic+[mesh_headings] or ")
+    assert "drug therapy[mesh_floating]" in str(rw.sensitivity_filter(q)) and "clinical trials as topic[mesh_headings]" in str(rw.precision_sensitivity_filter(q))
+
+
+def test_untitled_documents_stay(spark):
+    docs = spark.createDataFrame([(1, "A"), (2, " a"), (3, None), (4, ""), (5, None), (6, "b")], "doc_id long, ti string")
+    run = spark.createDataFrame([("t", "r", i, 0.0, i) for i in range(1, 8)], "topic string, run_name string, doc_id long, score double, rn long")
+    assert sorted(r.doc_id for r in ev.deduplicate_titles(run, docs).collect()) == [1, 3, 4, 5, 6, 7]
