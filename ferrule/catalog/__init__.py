@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["indexing", "boolean", "evaluation", "ranking", "prediction", "structure", "learning", "formulation", "streams"]
+MODULES = ["indexing", "boolean", "evaluation", "ranking", "prediction", "structure", "learning", "formulation", "files", "streams"]
 
 
 def merged(name: str) -> dict:
