@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import STOPWORDS, sentences, terms
@@ -24,8 +26,8 @@ def delivered_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("term", "field", F.col("pmid").alias("doc_id")).agg(F.max("tf").alias("tf"), F.max("pos").alias("pos"))
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """(term, field, doc_id, tf, pos) of the documents.
+def index(docs: DataFrame, term_filter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(term, field, doc_id, tf, pos) of the documents. ``term_filter`` says of a term of ti and ab whether it is kept, as a tagger of parts of speech would; all are without it.
 
     ti: position 1 + (1 - i / length) of the first occurrence i; ab: 1 + (1 - s / sentences) of the first sentence s; a heading
     of mh is one term with tf and pos 1. All fields of a document are counted within its row, before any shuffle.
@@ -35,7 +37,8 @@ def index(docs: DataFrame) -> DataFrame:
     ab = docs.select("doc_id", F.lit("ab").alias("field"), sentences("ab").alias("ss")).where(F.size("ss") > 0)
     ab = ab.select("doc_id", "field", F.size("ss").alias("n"), F.posexplode("ss").alias("i", "s")).select("doc_id", "field", "n", "i", F.explode(terms("s")).alias("term"))
     mh = docs.select("doc_id", F.lit("mh").alias("field"), F.explode("mh").alias("h")).where("h IS NOT NULL AND trim(h) <> ''").select("doc_id", "field", F.lower(F.trim("h")).alias("term")).distinct()
-    counted = ti.unionByName(ab).groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("tf"), (1.0 + (1.0 - F.min("i") / F.first("n"))).alias("pos"))
+    words = ti.unionByName(ab)
+    counted = (words if term_filter is None else words.where(term_filter(F.col("term")))).groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("tf"), (1.0 + (1.0 - F.min("i") / F.first("n"))).alias("pos"))
     return counted.unionByName(mh.select("term", "field", "doc_id", F.lit(1.0).alias("tf"), F.lit(1.0).alias("pos")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random as rnd
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.operators.formulation import split_order
@@ -192,6 +192,31 @@ def run_chain(start: Candidate, select: Callable[[Candidate, list[Candidate]], C
     return chain
 
 
+def generate(starts: Mapping[str, Candidate], postings: DataFrame, judged: DataFrame, depth: int = 1, sample: Sampler = lambda level: level) -> DataFrame:
+    """(topic, candidate_id, transformation_id, ret, rel_ret, rel, score, depth, query, features): the sampled candidates of every topic, all executed in one plan."""
+    made = {topic: breadth_first(c, sample, depth) for topic, c in starts.items()}
+    rows = [(topic, i, c.depth, str(c.query), dict(c.features)) for topic, cs in made.items() for i, c in enumerate(cs)]
+    known = postings.sparkSession.createDataFrame(rows, "topic string, candidate_id long, depth int, query string, features map<int,double>")
+    return f1_scored(executed(made, postings, judged)).join(known, ["topic", "candidate_id"])
+
+
+def validate(model, generated: DataFrame) -> DataFrame:
+    """(topic, candidate_id, score, best): the score of the candidate that the model puts first in each topic, and that of the topic's best."""
+    chosen = select_by(model, generated).select("topic", "candidate_id")
+    best = generated.groupBy("topic").agg(F.max("score").alias("best"))
+    return generated.select("topic", "candidate_id", "score").join(chosen, ["topic", "candidate_id"], "left_semi").join(best, "topic")
+
+
+def model_choice(spark: SparkSession, model) -> Callable[[Candidate, list[Candidate]], Candidate | None]:
+    """For ``run_chain``: the option that the model puts first, by its features alone."""
+
+    def select(current: Candidate, options: list[Candidate]) -> Candidate | None:
+        rows = spark.createDataFrame([("t", i, dict(c.features)) for i, c in enumerate(options)], "topic string, candidate_id long, features map<int,double>")
+        return options[select_by(model, rows).first().candidate_id]
+
+    return select
+
+
 def candidate_rows(candidates: Iterable[Candidate], topic: str) -> list[tuple]:
     """Rows (topic, candidate_id, transformation_id, depth, query, chain, features) of explored candidates."""
     from ferrule.plans.ast import to_json

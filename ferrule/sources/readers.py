@@ -183,6 +183,32 @@ def parse_tar_topic(text: str) -> TarTopic:
     return TarTopic(" ".join(blocks.get("Topic", [])).strip(), " ".join(blocks.get("Title", [])).strip(), parse_pubmed(original) if len(lines) < 3 else parse_medline(original), original)
 
 
+def read_tar_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """(topic, title, original, query, simplified, error): the topic files of a folder, one row per file, trees as JSON. A file that cannot be read has the reason."""
+    from ferrule.plans.ast import to_json
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf["value"]:
+                try:
+                    t = parse_tar_topic(text)
+                    simple = simplify_original(t.query)
+                    out.append((t.topic, t.title, t.original, to_json(t.query), None if simple is None else to_json(simple), None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((None, None, text, None, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(out, columns=["topic", "title", "original", "query", "simplified", "error"])
+
+    import pandas as pd
+
+    return spark.read.text(folder, wholetext=True).mapInPandas(run, "topic string, title string, original string, query string, simplified string, error string")
+
+
+def load_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The queries that ``writers.save_queries`` wrote: parsing is done once."""
+    return spark.read.parquet(folder)
+
+
 def simplify_original(node: Node) -> Node | None:
     """Keywords of only a MeSH field go; those of one other field stay; those of several become title and abstract. Empty groups go with them."""
     if isinstance(node, Keyword):

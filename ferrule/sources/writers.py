@@ -38,6 +38,11 @@ def reinforcement_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(" * ", "topic", scores, F.concat(_pairs("features"), F.lit(" # "), F.coalesce("comment", F.lit("")))).alias("value"))
 
 
+def save_queries(queries: DataFrame, folder: str) -> None:
+    """Parsed queries as a table, for ``readers.load_queries``."""
+    queries.write.mode("overwrite").parquet(folder)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

@@ -375,3 +375,24 @@ def test_untitled_documents_stay(spark):
     docs = spark.createDataFrame([(1, "A"), (2, " a"), (3, None), (4, ""), (5, None), (6, "b")], "doc_id long, ti string")
     run = spark.createDataFrame([("t", "r", i, 0.0, i) for i in range(1, 8)], "topic string, run_name string, doc_id long, score double, rn long")
     assert sorted(r.doc_id for r in ev.deduplicate_titles(run, docs).collect()) == [1, 3, 4, 5, 6, 7]
+
+
+def test_generate_train_validate_and_run_a_chain(spark):
+    """A query that gains by leaving out its second clause: the model learns it from one topic and applies it to another."""
+    from ferrule.plans.variations import Candidate
+
+    postings = spark.createDataFrame([(t, "ti", 100 * k + i) for k in range(2) for i in range(20) for t in ([f"good{k}"] if i < 10 else []) + ([f"rare{k}"] if i == 0 else [])], "term string, field string, doc_id long")
+    judged = spark.createDataFrame([(f"t{k}", 100 * k + i) for k in range(2) for i in range(10)], "topic string, doc_id long")
+    starts = {f"t{k}": Candidate(parse_expression(f"good{k}.ti. and rare{k}.ti."), -1) for k in range(2)}
+    made = le.generate(starts, postings, judged)
+    scores = {(r.topic, r.query): round(r.score, 6) for r in made.collect()}
+    assert scores["t0", "(good0[title] or rare0[title])"] == 1.0 and scores["t0", "(good0[title])"] == 1.0 and scores["t0", "(rare0[title])"] == round(2 / 11, 6)
+    model = le.train_ranker(made.where("topic = 't0'"))
+    assert {(r.topic, r.best) for r in le.validate(model, made).collect()} == {("t0", 1.0), ("t1", 1.0)}
+    chain = le.run_chain(starts["t1"], le.model_choice(spark, model), 2)
+    assert len(chain) >= 2 and chain[1] in [c for c in le.breadth_first(starts["t1"], lambda level: level, 1)]
+
+
+def test_term_filter_keeps_wanted_words(spark):
+    docs = spark.createDataFrame([(1, "Heart failure of hearts", "The heart.", ["Heart"])], "doc_id long, ti string, ab string, mh array<string>")
+    assert {(r.term, r.field) for r in ix.index(docs, lambda t: t.startswith("heart")).collect()} == {("heart", "ti"), ("hearts", "ti"), ("heart", "ab"), ("heart", "mh")}

@@ -127,3 +127,15 @@ def test_imports_without_the_optional_subpackage():
 
     code = "import sys; sys.modules['ferrule.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('p1_') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_topic_files_of_a_folder_are_parsed_once(spark, tmp_path):
+    folder = tmp_path / "topics"
+    folder.mkdir()
+    (folder / "1").write_text("Topic: CD01\n\nTitle: First one\n\nQuery:\n1. exp Sepsis/\n2. fever.ti,ab.\n3. 1 or 2\n\nPids:\n  12\n")
+    (folder / "2").write_text("Topic: CD02\n\nTitle: Broken\n\nQuery:\n1. (a.ti.\n2. 1 and\n3. or/1-\n")
+    found = {r.topic: r for r in rd.read_tar_topics(spark, str(folder)).collect()}
+    assert found["CD01"].title == "First one" and "Sepsis" in found["CD01"].query and "Sepsis" not in found["CD01"].simplified
+    assert found[None].error and found[None].query is None
+    wr.save_queries(rd.read_tar_topics(spark, str(folder)), f"{tmp_path}/saved")
+    assert {r.topic for r in rd.load_queries(spark, f"{tmp_path}/saved").collect()} == {"CD01", None}
