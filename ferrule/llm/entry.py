@@ -7,8 +7,12 @@ from importlib import import_module
 MODULES = ["term_counts", "joint_rank", "set_overlaps", "near_duplicates", "group_top", "distinctive_terms", "packing", "mixing", "subject_areas"]
 
 
+#: Imported at once: where one cannot be, this module cannot either, and ``__spark_entry__`` goes without the subpackage.
+LOADED = [import_module(f"ferrule.llm.{m}") for m in MODULES]
+
+
 def _merged(name: str) -> dict:
-    return {k: v for m in MODULES for k, v in getattr(import_module(f"ferrule.llm.{m}"), name).items()}
+    return {k: v for m in LOADED for k, v in getattr(m, name).items()}
 
 
 def queries() -> dict:

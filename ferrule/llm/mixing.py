@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.token_sizes import TOKENIZER, token_sizes
+from ferrule.llm.token_sizes import TOKENIZER, token_sizes, tokenizer_of
 from ferrule.tables import durable, table
 
 #: Texts of one source, and slots, that a task numbers.
@@ -108,12 +108,12 @@ def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tokenizer=tokenizer_of(spark))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
-    return shares(mixed(table(spark, sf_dir, "documents"), targets), targets)
+    return shares(mixed(table(spark, sf_dir, "documents"), targets, tokenizer=tokenizer_of(spark)), targets)
 
 
 QUERIES = {"p8_selection": p8_selection, "p8_shares": p8_shares}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.token_sizes import TOKENIZER, token_sizes
+from ferrule.llm.token_sizes import TOKENIZER, token_sizes, tokenizer_of
 from ferrule.tables import durable, table
 
 #: Items of one size that a task numbers: a size has as many lanes, numbered independently of each other, as its items need.
@@ -121,12 +121,12 @@ def fill_report(packing: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"), tokenizer=tokenizer_of(spark))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = table(spark, sf_dir, "pack_limits")
-    return fill_report(packed(table(spark, sf_dir, "documents"), limits), limits)
+    return fill_report(packed(table(spark, sf_dir, "documents"), limits, tokenizer=tokenizer_of(spark)), limits)
 
 
 QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: A file of byte-level BPE ranks (base64 bytes and rank, one a line); the folder must be the same on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _encodings: dict = {}
 
 
+def tokenizer_of(spark: SparkSession) -> str:
+    """The file of ranks that the session names in ``ferrule.tokenizer.path``, else ``TOKENIZER``; every executor reads it under this path."""
+    return spark.conf.get("ferrule.tokenizer.path", TOKENIZER)
+
+
 def encoding(path: str):
     """The tokenizer of ``path``, loaded once per process."""
     import base64
