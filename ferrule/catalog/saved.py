@@ -8,17 +8,17 @@ from ferrule.operators import index as ix
 from ferrule.operators import scorers as sc
 from ferrule.tables import shared_folder
 
-_folders: dict[tuple[str, str], str] = {}
+_built: dict[tuple[str, str], sc.Collection] = {}
 
 
 def collection(spark: SparkSession, sf_dir: str) -> sc.Collection:
     """The saved postings and statistics, with the current documents. The tables of a folder are taken not to change during a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _folders:
+    if key not in _built:
         folder = shared_folder(spark)
         ix.save_index(ix.delivered_postings(spark, sf_dir), folder)
-        _folders[key] = folder
-    return sc.Collection.saved(spark, _folders[key], ix.medline_documents(spark, sf_dir))
+        _built[key] = sc.Collection.saved(spark, folder, ix.medline_documents(spark, sf_dir))
+    return _built[key]
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,8 @@ class Collection:
 
     @classmethod
     def saved(cls, spark: SparkSession, folder: str, docs: DataFrame | None = None) -> "Collection":
-        fields = spark.read.parquet(f"{folder}/fields")
-        tables = {"n": fields.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")), "averages": fields.select("field", "avgdl", "tokens"), "lengths": spark.read.parquet(f"{folder}/lengths"), "terms": spark.read.parquet(f"{folder}/terms")}
-        return cls(spark.read.parquet(f"{folder}/postings"), docs, tables)
+        fields, lengths, terms, postings = (spark.read.parquet(f"{folder}/{name}") for name in ("fields", "lengths", "terms", "postings"))
+        return cls(postings, docs, {"n": fields.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")), "averages": fields.select("field", "avgdl", "tokens"), "lengths": lengths, "terms": terms})
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self.cache:
