@@ -5,12 +5,13 @@ from __future__ import annotations
 import random as rnd
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.operators.formulation import split_order
 from ferrule.plans.boolean import matching
 from ferrule.plans.variations import Candidate, variations
+from ferrule.tables import written
 
 
 def best_of(df: DataFrame, keys: list[str] = ["topic"]) -> DataFrame:  # noqa: B006
@@ -82,10 +83,121 @@ def cosines(df: DataFrame, model: DataFrame) -> DataFrame:
     return dots.join(na, ["topic", "candidate_id"]).join(nb, "model_topic").select("topic", "candidate_id", "model_topic", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+#: Feature entries of the model vectors that are compared in one pass: what a broadcast holds.
+PASS_ENTRIES = 500_000
+#: Shares of a squared norm are told apart down to 2 ** -LEAST_SHARE.
+LEAST_SHARE = 12
+#: More than the rounding errors of a bound.
+SLACK = 1e-7
+
+
+def _share_class(share: Column) -> Column:
+    """How often a share of a squared norm can be doubled before it passes 1, as a whole number up to LEAST_SHARE."""
+    return F.when((share > 0) & (share < 2), F.greatest(F.lit(0), F.least(F.lit(LEAST_SHARE), F.floor(-F.log2(share))))).otherwise(LEAST_SHARE).cast("int")
+
+
+def _used(features: str) -> Column:
+    return F.map_filter(features, lambda f, x: x.isNotNull() & (x != 0))
+
+
+def _unit(df: DataFrame) -> DataFrame:
+    """``df`` (v: a map without zeros) with its norm n and e, the entries (m, f, u) of its unit vector, largest first; u is NaN where squares leave the range of a double."""
+    n = F.sqrt(F.aggregate(F.map_values("v"), F.lit(0.0), lambda s, x: s + x * x))
+    inside = (F.col("n") > 1e-150) & (F.col("n") < 1e150)
+    entry = lambda x: F.struct(F.abs(x["value"]).alias("m"), x["key"].alias("f"), F.when(inside, x["value"] / F.col("n")).otherwise(float("nan")).alias("u"))
+    return df.where(F.size("v") > 0).withColumn("n", n).withColumn("e", F.sort_array(F.transform(F.map_entries("v"), entry), asc=False))
+
+
+def _key(kind: int, f: Column, g: Column, x: Column, y: Column, *rest: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), f.alias("f"), g.cast("int").alias("g"), x.alias("x"), y.alias("y"), *[r.alias("rest") for r in rest])
+
+
+def _pair_key(p: Column, q: Column, *rest: Column) -> Column:
+    u = lambda a, b: F.when(p["f"] < q["f"], a).otherwise(b)
+    return _key(2, F.least(p["f"], q["f"]), F.greatest(p["f"], q["f"]), u(p["u"], q["u"]), u(q["u"], p["u"]), *rest)
+
+
+def _posts(models: DataFrame) -> DataFrame:
+    """(kind, f, g, wx, wy, rest, m): where a vector finds the models, by the features that the two share.
+
+    kind 2: the model's two largest features; 1: its largest only, with the class of the share of the second; 0: not its largest but another,
+    with the class of the share of the largest. rest: what of the model's squared norm is not yet known to meet something or nothing.
+    """
+    first, second = F.get("e", F.lit(0)), F.get("e", F.lit(1))  # a filter may be evaluated before empty vectors are gone
+    square = lambda c: c["u"] * c["u"]
+    one, two = square(first), F.coalesce(square(second), F.lit(0.0))
+    both = F.when(F.size("e") > 1, F.array(_pair_key(first, second, 1 - one - two))).otherwise(F.array())
+    largest = F.array(_key(1, first["f"], _share_class(two), first["u"], F.lit(0.0), 1 - one - two))
+    others = F.transform(F.slice("e", 2, F.greatest(F.size("e"), F.lit(1))), lambda c: _key(0, c["f"], _share_class(one), c["u"], F.lit(0.0), 1 - one - square(c)))
+    return models.select("m", F.explode(F.concat(both, largest, others)).alias("k")).select("k.kind", "k.f", "k.g", F.col("k.x").alias("wx"), F.col("k.y").alias("wy"), "k.rest", "m")
+
+
+def _cosine_pairs(probes: DataFrame, posts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(topic, candidate_id, m, cosine) of probes (a key of a candidate a row, with floor, the least cosine of interest) and models of other topics.
+
+    By Cauchy's inequality a cosine is at most that of the known shared features plus the product of what is left of both norms. Only the few
+    pairs whose bound reaches the floor are computed; none is stored or shuffled before that.
+    """
+    bound = F.col("x") * F.col("wx") + F.col("y") * F.col("wy") + F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("x") * F.col("x") - F.col("y") * F.col("y")) * F.greatest(F.lit(0.0), F.col("rest")))
+    near = probes.join(F.broadcast(posts), ["kind", "f", "g"]).where(bound + SLACK >= F.col("floor")).drop("kind", "f", "g", "x", "y", "wx", "wy", "rest")
+    dot = F.aggregate(F.map_entries("v"), F.lit(0.0), lambda s, x: s + F.coalesce(x["value"] * F.try_element_at("w", x["key"]), F.lit(0.0)))
+    pairs = near.join(F.broadcast(vectors.select("m", "model_topic", F.col("v").alias("w"), F.col("n").alias("nw"))), "m").where("topic <> model_topic")
+    return pairs.withColumn("cosine", dot / (F.col("n") * F.col("nw"))).where(F.col("cosine") + SLACK >= F.col("floor")).select("topic", "candidate_id", "m", "cosine")
+
+
+def _first_floor(units: DataFrame, posts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(topic, floor): the largest cosine of a topic's candidates and the models that have the same two largest features."""
+    e, first = F.col("e"), F.get("e", F.lit(0))
+    own = F.when(F.size(e) > 1, _pair_key(first, F.get(e, F.lit(1)))).otherwise(_key(1, first["f"], F.lit(LEAST_SHARE), first["u"], F.lit(0.0)))
+    probes = units.select("topic", "candidate_id", "v", "n", F.lit(-2.0).alias("floor"), own.alias("k")).select("topic", "candidate_id", "v", "n", "floor", "k.*")
+    pairs = _cosine_pairs(probes, posts, vectors)
+    return pairs.groupBy("topic").agg(F.max("cosine").alias("floor"))
+
+
+def _probes(units: DataFrame, floors: DataFrame) -> DataFrame:
+    """The keys of all models that may reach the floor of each of ``units``, a row each.
+
+    For a cosine t the shared features have at least the share t * t of either squared norm. So a feature of a larger share than 1 - t * t is
+    shared: the two largest of a model (kind 2), unless the second (kind 1) or the first (kind 0) has at most that share.
+    """
+    t = F.col("floor") - SLACK
+    least = F.when((t > 0) & ~F.isnan(t) & ~F.isnan(F.get("e", F.lit(0))["u"]), _share_class(1 - t * t)).otherwise(0)
+    second = lambda kind, g, y: F.struct(F.lit(kind).alias("kind"), g.alias("g"), y.alias("y"))
+    others = F.transform("e", lambda q: second(2, q["f"], q["u"]))
+    classes = [F.transform(F.sequence(least, F.lit(LEAST_SHARE)), lambda g: second(kind, g, F.lit(0.0))) for kind in (1, 0)]
+    known = units.join(floors, "topic", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    kept = ["topic", "candidate_id", "v", "n", "floor"]
+    keys = known.select(*kept, "e", F.concat(others, *classes).alias("s")).select(*kept, "s", F.explode("e").alias("p")).select(*kept, "p", F.explode("s").alias("q"))
+    return keys.where("q.kind < 2 OR p.f < q.g").select(*kept, "q.kind", "p.f", "q.g", F.col("p.u").alias("x"), "q.y")
+
+
 def nearest_selector(df: DataFrame, model: DataFrame) -> DataFrame:
-    """(topic, candidate_id, model_topic, cosine): per topic the candidate nearest to the best vector of another topic."""
+    """(topic, candidate_id, model_topic, cosine): per topic the candidate nearest to the best vector of another topic, of ``cosines``.
+
+    Exact, without all pairs of candidates and models: see ``_probes`` and ``_cosine_pairs``. Models are taken in passes of PASS_ENTRIES, so the
+    candidates are read once or twice a pass; what leaves a task is a row for each candidate that is still in question.
+    """
+    units = _unit(written(df.where("topic IS NOT NULL AND candidate_id IS NOT NULL").select("topic", "candidate_id", _used("features").alias("v"))))
+    models = written(model.where("model_topic IS NOT NULL").select("model_topic", _used("best_features").alias("v")))
+    passes = max(1, -(-(models.agg(F.sum(F.greatest(F.size("v"), F.lit(1)))).first()[0] or 0) // PASS_ENTRIES))
+    within = F.row_number().over(Window.partitionBy("pass").orderBy("model_topic"))
+    models = _unit(written(models.repartitionByRange(passes, "model_topic").withColumn("pass", F.spark_partition_id()).withColumn("m", within)))
     order = Window.partitionBy("topic").orderBy(F.round("cosine", 9).desc(), "candidate_id", "model_topic")
-    return cosines(df, model).where("topic <> model_topic").withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
+    first = lambda d: d.withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
+    # a cosine in steps of 1e-9 and, of equal ones, the first model, as one number; NaN comes first, as in the order
+    last, nan = 2**31 - 1, 2**31 - 1
+    steps = F.when(F.isnan("cosine"), F.lit(nan).cast("long")).otherwise(F.round((F.least(F.greatest(F.round("cosine", 9), F.lit(-1.0)), F.lit(1.0)) + 1) * 1e9).cast("long"))
+    best = None
+    for k in range(passes):
+        vectors = models.where(F.col("pass") == k)
+        posts = _posts(vectors)
+        floors = best.groupBy("topic").agg(F.max("cosine").alias("floor")) if best is not None else _first_floor(units, posts, vectors)
+        pairs = _cosine_pairs(_probes(units, floors), posts, vectors).withColumn("rank", F.shiftleft(steps, 31) + (last - F.col("m")))
+        found = pairs.groupBy("topic", "candidate_id").agg(F.max("rank").alias("rank"), F.max_by("cosine", "rank").alias("cosine"))
+        found = found.withColumn("m", last - F.col("rank").bitwiseAND(F.lit(last).cast("long"))).join(F.broadcast(vectors.select("m", "model_topic")), "m")
+        found = written(first(found.select("topic", "candidate_id", "model_topic", "cosine")))
+        best = found if best is None else best.unionByName(found)
+    return first(best)
 
 
 def dense_features(df: DataFrame, size: int = 64) -> DataFrame:
